@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runledger.functions.names import basename, data_path
 from runledger.functions.payload import is_present, json_default, text_at
 from runledger.operators.tables import layered
+from runledger.session import compute_once
 
 _R1_DISTILL = "deepseek-ai/DeepSeek-R1-Distill-Qwen-1.5B"
 _QWEN_2B = "Qwen/Qwen2-VL-2B-Instruct"
@@ -110,7 +111,7 @@ def failing_block(request: Column) -> Column:
 
 def validate_requests(requests: DataFrame, request: str = "request") -> tuple[DataFrame, DataFrame]:
     """Sound requests, and the others with the ``reason``."""
-    checked = requests.withColumn("reason", failing_block(F.col(request)))
+    checked = compute_once(requests, reason=failing_block(F.col(request)))
     return checked.where(F.col("reason").isNull()).drop("reason"), checked.where(F.col("reason").isNotNull())
 
 

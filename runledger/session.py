@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -40,3 +41,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="runledger-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a reduced table to the shared folder and read it back.
+
+    For a table several later steps start from: they read it rather than each computing it again,
+    and a lost executor costs a re-read.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def compute_once(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters refer to.
+
+    Spark copies the expression behind a column into every filter pushed below it. Columns
+    unfolded from a one-element array stay where they are, so each is computed once per row.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*(keep or ["*"]), F.inline(F.array(row)))

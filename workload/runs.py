@@ -396,17 +396,16 @@ FROM orders o LEFT JOIN (SELECT DISTINCT job FROM lines) l ON l.job = CAST(o_ord
 LEFT JOIN best b ON b.job = CAST(o_orderkey AS VARCHAR)""")
 def metrics_or_error(spark, sf):
     steps = _steps(spark, sf)
-    metrics = job_metrics(_jobs(spark, sf), steps, _results(steps))
+    metrics = job_metrics(_jobs(spark, sf), steps, iteration_metrics(steps, _results(steps)))
     return metrics.select("training_job_uuid", "best_iteration", "error")
 
 
 def _finished(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Jobs and ITERATION rows with their metrics stored."""
     steps = _steps(spark, sf)
-    results = _results(steps)
     jobs = _jobs(spark, sf)
-    jobs = update_jobs(jobs, job_metrics(jobs, steps, results))
-    return jobs, update_iterations(steps, iteration_metrics(steps, results))
+    per_iteration = iteration_metrics(steps, _results(steps))
+    return update_jobs(jobs, job_metrics(jobs, steps, per_iteration)), update_iterations(steps, per_iteration)
 
 
 @query(_BEST_SQL + """,

@@ -211,12 +211,12 @@ def metadata_merge(spark, sf):
 _TRANSITIONS_SQL = """
 WITH t AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS seq,
                   CASE l_linenumber WHEN 1 THEN 'running' WHEN 2 THEN 'running' WHEN 3 THEN 'cancelled' WHEN 4 THEN 'failed'
-                       WHEN 5 THEN 'cancelled' WHEN 6 THEN 'completed' ELSE 'cancelled' END AS status, l_shipdate AS at,
+                       WHEN 5 THEN 'cancelled' WHEN 6 THEN 'completed' ELSE 'cancelled' END AS status, l_shipdate AS done,
                   l_partkey FROM lineitem),
 b AS (SELECT *, lag(status) OVER (PARTITION BY k ORDER BY seq) AS prev FROM t),
 e AS (SELECT * FROM b WHERE NOT (status = 'cancelled' AND coalesce(prev, 'pending') IN ('completed', 'failed', 'cancelled'))),
-a AS (SELECT k, max_by(status, seq) AS status, max_by(at, seq) FILTER (WHERE status = 'running') AS started,
-             max_by(at, seq) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS completed,
+a AS (SELECT k, max_by(status, seq) AS status, max_by(done, seq) FILTER (WHERE status = 'running') AS started,
+             max_by(done, seq) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS completed,
              max_by(l_partkey, seq) FILTER (WHERE status = 'failed') AS part FROM e GROUP BY 1)
 SELECT CAST(o_orderkey AS VARCHAR) AS uuid, coalesce(a.status, 'pending') AS status,
        strftime(started, '%Y-%m-%d') AS started_at, strftime(completed, '%Y-%m-%d') AS completed_at,
@@ -397,16 +397,22 @@ def written_configs(spark, sf):
     return written.select("task_type", "name", F.get_json_object("config", "$.project_name").alias("project"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS run, c_name AS name FROM customer WHERE c_acctbal >= 0")
+@query("""
+SELECT c_mktsegment || '-' || c_nationkey AS run, c_mktsegment || ' ' || count(*) AS name
+FROM customer GROUP BY c_mktsegment, c_nationkey HAVING min(c_acctbal) < 0""")
 def request_files(spark, sf):
-    """Request documents written as lines of text files and read back as whole documents."""
+    """A request per segment and nation, each a file, read back as whole documents."""
     root = shared_dir(spark, "requests")
-    text = """to_json(named_struct('success', c_acctbal >= 0, 'data', named_struct('request_data', named_struct(
-        'training_run_id', CAST(c_custkey AS STRING), 'project', named_struct('name', c_name)))))"""
-    rows = table(spark, sf, "customer").selectExpr("c_custkey", f"{text} AS value")
-    rows.repartition("c_custkey").write.partitionBy("c_custkey").text(root)
+    text = """to_json(named_struct('success', least < 0, 'data', named_struct('request_data', named_struct(
+        'training_run_id', concat_ws('-', c_mktsegment, c_nationkey),
+        'project', named_struct('name', concat_ws(' ', c_mktsegment, n))))))"""
+    groups = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(
+        F.min("c_acctbal").alias("least"), F.count(F.lit(1)).alias("n")
+    )
+    rows = groups.selectExpr("c_mktsegment", "c_nationkey", f"{text} AS value")
+    rows.write.partitionBy("c_mktsegment", "c_nationkey").text(root)
     request = unwrap_request(F.col("document"))
-    return read_requests(spark, f"{root}/*").select(
+    return read_requests(spark, f"{root}/*/*").select(
         F.try_variant_get(request, "$.training_run_id", "string").alias("run"),
         F.try_variant_get(request, "$.project.name", "string").alias("name"),
     )
