@@ -29,7 +29,8 @@ def is_present(value: Column, path: str) -> Column:
 
 
 def is_object(value: Column, path: str = "$") -> Column:
-    return F.startswith(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit("OBJECT"))
+    """Whether a path holds an object; looks at its first level only."""
+    return F.try_variant_get(value, path, "map<string,variant>").isNotNull()
 
 
 def json_default(value: Column, path: str, default: str) -> Column:

@@ -54,6 +54,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores out to all of them.
+
+    For costly work per row on few files; a scan with enough splits stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def compute_once(df: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
     """Add costly columns that later filters refer to.
 

@@ -12,7 +12,7 @@ from runledger.operators.quality import parse_quality
 from runledger.operators.spans import build_all, build_spans, iterations_of, rejected_starts, track
 from runledger.plans.jobs import job_outcomes
 from runledger.plans.reports import accuracy_report, eval_file_paths, iteration_metadata, job_status, job_time
-from runledger.session import shared_dir
+from runledger.session import shared_dir, spread
 from runledger.sources.logs import decode_events, decode_lines, read_event_lines
 from runledger.streaming.spans import current_spans, stream_spans
 from workload.registry import query, table
@@ -34,7 +34,7 @@ def _pick(place: int) -> str:
 
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
     """Log lines ``(job_uuid, seq, line)`` derived from the events: a user is a job."""
-    rows = table(spark, sf, "events").selectExpr(
+    rows = spread(table(spark, sf, "events")).selectExpr(
         "*", f"{_pick(0)} AS phase", f"{_pick(1)} AS event", "CAST(floor(value) AS INT) AS whole"
     )
     start = "event = 'start'"
@@ -316,10 +316,11 @@ _SEQ = "CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(round(l_extendedprice
 
 def _steps(spark: SparkSession, sf: str) -> DataFrame:
     """Per line an ITERATION row and evaluations on ``eval`` and ``train``; open lines lack ``train``."""
-    lines = table(spark, sf, "lineitem").selectExpr(
+    columns = "l_orderkey l_linenumber l_extendedprice l_returnflag l_shipdate l_quantity l_discount l_tax".split()
+    lines = spread(table(spark, sf, "lineitem").select(*columns)).selectExpr(
         "CAST(l_orderkey AS STRING) AS training_job_uuid", "l_linenumber AS iteration_number", f"{_SEQ} AS line_seq",
         "CASE WHEN l_returnflag <> 'N' THEN CAST(l_shipdate AS TIMESTAMP_NTZ) END AS completed_at",
-        "l_quantity AS time_taken", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+        "l_quantity AS time_taken", "l_discount", "l_tax",
         "explode(array('iteration', 'eval', 'train')) AS kind",
     )
     lines = lines.where("NOT (kind = 'train' AND l_discount = 0)")

@@ -14,7 +14,7 @@ from runledger.operators.tables import (
 )
 from runledger.plans.config import DEFAULTS, SETTINGS, TASKS, derive_config, validate_requests, write_configs
 from runledger.plans.jobs import apply_transitions, jobs_from_requests
-from runledger.session import shared_dir
+from runledger.session import shared_dir, spread
 from runledger.sources.datasets import load_dataset
 from runledger.sources.objects import list_objects, sync_plan as missing_objects, transfer_plan
 from runledger.sources.requests import read_requests, sound_envelope, unwrap_request
@@ -256,7 +256,7 @@ def _requests(spark: SparkSession, sf: str) -> DataFrame:
             'file_name', concat('projects/', o_custkey, '/train/', o_orderkey, '.csv'), 'input_col', 'text',
             'output_cols', array('label'), 'image_root', CASE WHEN o_orderpriority = '2-HIGH' THEN concat('img/', o_custkey) END) END,
         'eval_dataset', named_struct('id', CAST(o_orderkey AS STRING), 'file_name', concat('e', o_orderkey, '.csv'))))))"""
-    rows = table(spark, sf, "orders").selectExpr("o_orderkey", f"{text} AS text")
+    rows = spread(table(spark, sf, "orders")).selectExpr("o_orderkey", f"{text} AS text")
     return rows.select("o_orderkey", F.try_parse_json("text").alias("document"))
 
 
