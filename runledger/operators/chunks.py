@@ -84,10 +84,15 @@ def join_chunks(df: DataFrame, per_chunk: DataFrame, key: Sequence[str]) -> Data
 
 
 def positions(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "pos", max_rows: int = MAX_ROWS
+    df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "pos",
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
-    """Number the rows of each key from 1 in order, heavy keys in many tasks."""
-    df = df if has_chunks(df) else add_chunks(df, key, order[0], max_rows)
+    """Number the rows of each key from 1 in order, heavy keys in many tasks.
+
+    With ``max_rows`` None no key is known to be heavy, and none is looked for.
+    """
+    if max_rows is not None and not has_chunks(df):
+        df = add_chunks(df, key, order[0], max_rows)
     local = F.row_number().over(chunk_window(df, key, order))
     if not has_chunks(df):
         return df.withColumn(name, local.cast("long"))
@@ -104,14 +109,16 @@ def positions(
 
 def paged_arrays(
     df: DataFrame, key: Sequence[str], order: Sequence[str], values: Sequence[str], page_rows: int = 10_000,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Ordered arrays per key, nulls kept, in pages of at most ``page_rows`` elements.
 
     A key of up to ``page_rows`` rows is one row with page 0; the pages of a longer one follow
     each other, so no row outgrows a task and no element is left out.
     """
-    numbered = positions(df.select(*key, *dict.fromkeys([*order, *values])), key, order, "_pos", max_rows)
+    chunk = [CHUNK] if has_chunks(df) else []
+    rows = df.select(*key, *dict.fromkeys([*order, *values]), *chunk)
+    numbered = positions(rows, key, order, "_pos", max_rows)
     page = F.floor((F.col("_pos") - 1) / page_rows).cast("int").alias("page")
     rows = F.array_sort(F.collect_list(F.struct("_pos", *values)))
     return (

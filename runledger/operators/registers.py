@@ -64,15 +64,15 @@ def with_registers(
     key: Sequence[str],
     order: Sequence[str],
     initial: DataFrame | None = None,
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Add each register's value before the row, one column per register.
 
     ``df`` may bring its own ``_chunk`` (null or ascending with ``order``); otherwise heavy keys
-    are cut here. ``initial`` holds one row per key with the value a register starts from, as a
+    are cut here, unless ``max_rows`` is None: then no key is known to be heavy. ``initial`` holds one row per key with the value a register starts from, as a
     struct ``v`` under the register's name (null where it never changed).
     """
-    if not has_chunks(df):
+    if max_rows is not None and not has_chunks(df):
         df = add_chunks(df, key, order[0], max_rows)
     if initial is not None:
         names = [c for c in initial.columns if c not in key]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from runledger.operators.chunks import MAX_ROWS
+from runledger.operators.chunks import MAX_ROWS, add_chunks
 from runledger.operators.spans import NUMBER, SPANS, assemble, span_changes, track
 from runledger.sources.logs import decode_events
 
@@ -52,9 +52,10 @@ def number_lines(batch: DataFrame) -> DataFrame:
     )
 
 
-def events_of_lines(batch: DataFrame) -> DataFrame:
-    """Typed events of a batch from :func:`stream_lines`."""
-    return decode_events(number_lines(batch), F.localtimestamp())[0]
+def events_of_lines(batch: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Typed events of a batch from :func:`stream_lines`, heavy jobs cut into chunks."""
+    lines = add_chunks(number_lines(batch), ["job_uuid"], "seq", max_rows)
+    return decode_events(lines, F.localtimestamp())[0]
 
 
 def _registers_after(changes: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -75,23 +76,23 @@ def _registers_after(changes: DataFrame, before: DataFrame | None) -> DataFrame:
     return merged.select("job_uuid", *[F.coalesce(name, f"_old_{name}").alias(name) for name in held])
 
 
-def process_batch(events: DataFrame, batch_id: int, out: str, max_rows: int = MAX_ROWS) -> None:
+def process_batch(events: DataFrame, batch_id: int, out: str) -> None:
     """Add one batch of typed events to the output folder."""
     spark = events.sparkSession
     before = spark.read.parquet(f"{out}/state/slot={(batch_id - 1) % 2}") if batch_id else None
     changes_path = f"{out}/changes/batch_id={batch_id}"
-    span_changes(track(events, before, max_rows)).write.mode("overwrite").parquet(changes_path)
+    span_changes(track(events, before, max_rows=None)).write.mode("overwrite").parquet(changes_path)
     after = _registers_after(spark.read.parquet(changes_path), before)
     after.write.mode("overwrite").parquet(f"{out}/state/slot={batch_id % 2}")
 
 
 def stream_spans(
     stream: DataFrame, out: str, checkpoint: str, events: Callable[[DataFrame], DataFrame] = events_of_lines,
-    trigger: dict[str, object] | None = None, max_rows: int = MAX_ROWS,
+    trigger: dict[str, object] | None = None,
 ) -> StreamingQuery:
-    """Start the query that keeps the output folder up to date; ``events`` types a batch."""
+    """Start the query that keeps the output folder up to date; ``events`` types a batch and cuts its heavy jobs."""
     return (
-        stream.writeStream.foreachBatch(lambda df, batch_id: process_batch(events(df), batch_id, out, max_rows))
+        stream.writeStream.foreachBatch(lambda df, batch_id: process_batch(events(df), batch_id, out))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": POLL}))
         .start()

@@ -1,4 +1,5 @@
 import time
+from functools import partial
 
 from logmaker import as_lines, random_log
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from runledger.operators.spans import build_spans
 from runledger.plans.jobs import job_outcomes
 from runledger.sources.logs import decode_events, read_event_lines
-from runledger.streaming.spans import current_spans, stream_lines, stream_spans
+from runledger.streaming.spans import current_spans, events_of_lines, stream_lines, stream_spans
 from runledger.streaming.stalled import stream_stalled
 
 LINES = "job_uuid string, seq long, line string"
@@ -27,7 +28,8 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
         for job, lines in logs.items():
             land(landing, job, lines[first - 1 : first + 29], first)
         stream = stream_lines(spark, f"{landing}/*")
-        query = stream_spans(stream, out, checkpoint, trigger={"availableNow": True}, max_rows=20)
+        events = partial(events_of_lines, max_rows=20)
+        query = stream_spans(stream, out, checkpoint, events, trigger={"availableNow": True})
         query.awaitTermination()
     rows = [(job, seq, line) for job, lines in logs.items() for seq, line in enumerate(lines, 1)]
     want = build_spans(decode_events(spark.createDataFrame(rows, LINES))[0])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from runledger.operators.best import (
     best_overall, eval_slots, iteration_metrics, job_metrics, update_iterations, update_jobs,
 )
+from runledger.operators.chunks import MAX_ROWS, add_chunks
 from runledger.operators.quality import parse_quality
 from runledger.operators.spans import build_all, build_spans, iterations_of, rejected_starts, track
 from runledger.plans.jobs import job_outcomes
@@ -62,8 +63,13 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     return rows.selectExpr("CAST(user_id AS STRING) AS job_uuid", "event_id AS seq", f"{line} AS line", "event_type", "value")
 
 
-def _log_events(spark: SparkSession, sf: str) -> DataFrame:
-    return decode_events(run_log(spark, sf).select("job_uuid", "seq", "line"))[0]
+def _log_events(spark: SparkSession, sf: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Typed events; heavy jobs are looked for among the lines, not after decoding."""
+    return decode_events(_chunked(run_log(spark, sf).select("job_uuid", "seq", "line"), max_rows))[0]
+
+
+def _chunked(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    return add_chunks(lines, ["job_uuid"], "seq", max_rows)
 
 
 _W = "OVER (PARTITION BY job ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -171,13 +177,13 @@ def _iteration_columns(iterations: DataFrame) -> DataFrame:
 
 @query(_ITERATIONS_SQL)
 def log_iterations(spark, sf):
-    return _iteration_columns(build_all(_log_events(spark, sf))["iterations"])
+    return _iteration_columns(build_all(_log_events(spark, sf), max_rows=None)["iterations"])
 
 
 @query(_ITERATIONS_SQL)
 def log_iterations_split(spark, sf):
     """The same rows with each job's log cut into chunks of a few lines."""
-    return _iteration_columns(build_all(_log_events(spark, sf), max_rows=16)["iterations"])
+    return _iteration_columns(build_all(_log_events(spark, sf, max_rows=16), max_rows=None)["iterations"])
 
 
 @query(_SPANS_SQL + f"""
@@ -185,7 +191,7 @@ SELECT {_uuid_sql("phase", "start_seq")} AS uuid, {_uuid_sql("'TRAINING'", "pare
        number AS iteration_number, epoch AS epoch_number, {_TIMES_SQL}
 FROM spans WHERE phase = 'EPOCH_TRAIN'""")
 def log_epochs(spark, sf):
-    epochs = build_all(_log_events(spark, sf))["epochs"]
+    epochs = build_all(_log_events(spark, sf), max_rows=None)["epochs"]
     return epochs.select("uuid", "iteration_uuid", "start_seq", "iteration_number", "epoch_number", *_times())
 
 
@@ -195,7 +201,7 @@ SELECT {_uuid_sql("phase", "start_seq")} AS uuid, {_uuid_sql("'EVAL_TRAINING'",
          AS model_id, dataset, CAST(score AS DOUBLE) AS score, {_TIMES_SQL}
 FROM spans WHERE phase = 'EVAL_MODEL' AND dataset IS NOT NULL""")
 def log_evals(spark, sf):
-    evals = build_all(_log_events(spark, sf))["evals"]
+    evals = build_all(_log_events(spark, sf), max_rows=None)["evals"]
     score = F.get_json_object("metrics", "$.answer_reward.percentage").cast("double").alias("score")
     return evals.select("uuid", "iteration_uuid", "start_seq", "model_id", "dataset", score, *_times())
 
@@ -204,7 +210,7 @@ def log_evals(spark, sf):
 SELECT job AS job_uuid, start_seq, phase, CASE WHEN phase = 'EVAL_MODEL' THEN 'null_dataset' ELSE 'null_number' END AS reason
 FROM spans WHERE (phase = 'EVAL_MODEL' AND dataset IS NULL) OR (phase <> 'EVAL_MODEL' AND number IS NULL)""")
 def log_refused_spans(spark, sf):
-    return build_all(_log_events(spark, sf))["rejects"]
+    return build_all(_log_events(spark, sf), max_rows=None)["rejects"]
 
 
 @query(_SPANS_SQL + """
@@ -213,7 +219,7 @@ SELECT phase, event, reason, count(*) AS n FROM (
                             WHEN event <> 'start' AND held IS NULL THEN 'no_open_span' END AS reason FROM d)
 WHERE reason IS NOT NULL GROUP BY 1, 2, 3""")
 def log_orphans(spark, sf):
-    orphans = rejected_starts(track(_log_events(spark, sf)))
+    orphans = rejected_starts(track(_log_events(spark, sf), max_rows=None))
     return orphans.groupBy("phase", "event", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -221,7 +227,7 @@ def log_orphans(spark, sf):
 SELECT job AS job_uuid, strftime(max(end_ts), '%Y-%m-%d %H:%M:%S') AS completed_at, true AS success
 FROM spans WHERE phase = 'PROJECT' AND end_ts IS NOT NULL GROUP BY 1""")
 def log_outcomes(spark, sf):
-    outcomes = job_outcomes(build_spans(_log_events(spark, sf)))
+    outcomes = job_outcomes(build_spans(_log_events(spark, sf), max_rows=None))
     return outcomes.select("job_uuid", _stamp("completed_at"), "success")
 
 
@@ -237,7 +243,7 @@ def stream_spans_in_batches(spark, sf):
         lines.where((F.col("seq") >= low) & (F.col("seq") < low + width)).write.mode("append").parquet(f"{root}/in")
         stream = spark.readStream.schema(lines.schema).parquet(f"{root}/in")
         running = stream_spans(
-            stream, f"{root}/out", f"{root}/checkpoint", events=lambda df: decode_events(df)[0],
+            stream, f"{root}/out", f"{root}/checkpoint", events=lambda df: decode_events(_chunked(df))[0],
             trigger={"availableNow": True},
         )
         running.awaitTermination()
