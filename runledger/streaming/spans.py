@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runledger.operators.chunks import MAX_ROWS, add_chunks
 from runledger.operators.spans import NUMBER, SPANS, assemble, span_changes, track
-from runledger.sources.logs import decode_events
+from runledger.sources.logs import decode_events, number_lines, split_bytes
 
 # Fixed value: how often a log is looked at.
 POLL = "5 seconds"
@@ -37,24 +37,23 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
         F.col("value").alias("line"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_size").alias("_size"),
     )
 
 
-def number_lines(batch: DataFrame) -> DataFrame:
+def segment_lines(batch: DataFrame) -> DataFrame:
     """``(job_uuid, seq, line)`` of a batch of segments."""
-    in_file = Window.partitionBy("file").orderBy("_block", "_at")
+    large = batch.where(F.col("_size") > split_bytes(batch.sparkSession)).select("file").distinct()
     path = F.regexp_extract("file", r"([^/]+)/(\d+)\.json$", 0)
-    numbered = batch.withColumn("_at", F.monotonically_increasing_id()).withColumn("_nr", F.row_number().over(in_file))
-    return numbered.select(
-        F.substring_index(path, "/", 1).alias("job_uuid"),
-        (F.regexp_extract(path, r"(\d+)\.json$", 1).cast("long") + F.col("_nr") - 1).alias("seq"),
-        "line",
+    first = F.regexp_extract(path, r"(\d+)\.json$", 1).cast("long")
+    return number_lines(batch, "file", large).select(
+        F.substring_index(path, "/", 1).alias("job_uuid"), (first + F.col("seq") - 1).alias("seq"), "line"
     )
 
 
 def events_of_lines(batch: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Typed events of a batch from :func:`stream_lines`, heavy jobs cut into chunks."""
-    lines = add_chunks(number_lines(batch), ["job_uuid"], "seq", max_rows)
+    lines = add_chunks(segment_lines(batch), ["job_uuid"], "seq", max_rows)
     return decode_events(lines, F.localtimestamp())[0]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from runledger.operators.spans import build_spans
 from runledger.plans.jobs import job_outcomes
 from runledger.sources.logs import decode_events, read_event_lines
-from runledger.streaming.spans import current_spans, events_of_lines, stream_lines, stream_spans
+from runledger.streaming.spans import current_spans, events_of_lines, segment_lines, stream_lines, stream_spans
 from runledger.streaming.stalled import stream_stalled
 
 LINES = "job_uuid string, seq long, line string"
@@ -66,3 +66,17 @@ def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert sorted((r.seq, r.line) for r in rows) == [(i + 1, f"line {i}") for i in range(800)]
     assert read_event_lines(spark, f"{tmp_path}/*", first_match=True).count() == 400
+
+
+def test_large_segments_are_numbered_split_by_split(spark, tmp_path):
+    land(tmp_path, "j", [f"line {i}" for i in range(500)], 7)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        batch = spark.read.text(f"{tmp_path}/j").select(
+            F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"),
+        )
+        rows = segment_lines(batch).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.job_uuid, r.seq, r.line) for r in rows) == [("j", i + 7, f"line {i}") for i in range(500)]
