@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.operators.chunks import CHUNK, MAX_ROWS, add_chunks, chunk_window, has_chunks, join_chunks
+from runledger.session import stored
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,10 @@ def last_changes(df: DataFrame, group: Sequence[str], order: Sequence[str], regi
 
 
 def _chunk_carry(df: DataFrame, key: Sequence[str], order: Sequence[str], registers: Mapping[str, Register]) -> DataFrame:
-    """Change in force when each chunk begins: the chunks before it, a few thousand rows a key."""
+    """Change in force when each chunk begins, from the chunks before it: one row per chunk.
+
+    Stored, it spares later passes from working out the earlier ones again.
+    """
     before = Window.partitionBy(*key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     ends = last_changes(df.where(F.col(CHUNK).isNotNull()), [*key, CHUNK], order, registers)
     return ends.select(
@@ -81,7 +85,7 @@ def with_registers(
     for make in passes:
         registers = make(df)
         if has_chunks(df):
-            df = join_chunks(df, _chunk_carry(df, key, order, registers), key)
+            df = join_chunks(df, stored(_chunk_carry(df, key, order, registers), "carry"), key)
         window = chunk_window(df, key, order).rowsBetween(Window.unboundedPreceding, -1)
         columns = {}
         for name, reg in registers.items():

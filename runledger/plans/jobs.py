@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from runledger.functions.payload import text_at
 from runledger.functions.times import minutes_between
-from runledger.operators.best import merge_metadata
+from runledger.operators.best import set_in_json
 from runledger.operators.chunks import MAX_ROWS
 from runledger.operators.registers import Register, with_registers
 from runledger.schemas import TERMINAL_STATUSES
@@ -61,10 +61,11 @@ def apply_transitions(jobs: DataFrame, transitions: DataFrame, max_rows: int = M
         .withColumn("completed_at", F.coalesce("_completed", "completed_at"))
     )
     minutes = minutes_between(F.col("created_at"), F.col("completed_at"))
-    changed = changed.withColumn("time_taken", F.when(F.col("_completed").isNotNull(), minutes).otherwise(F.col("time_taken")))
-    errors = last.where(F.col("_error").isNotNull()).select("uuid", F.col("_error").alias("error"))
-    noted = merge_metadata(changed, errors, ["uuid"], "error", F.to_json(F.col("error").try_cast("variant")), "job_metadata")
-    return noted.drop("_status", "_started", "_completed", "_error")
+    minutes = F.when(F.col("_completed").isNotNull(), minutes).otherwise(F.col("time_taken"))
+    changed = changed.withColumn("time_taken", minutes)
+    metadata, note = F.col("job_metadata"), F.to_json(F.col("_error").try_cast("variant"))
+    noted = F.when(F.col("_error").isNotNull(), set_in_json(metadata, "error", note)).otherwise(metadata)
+    return changed.withColumn("job_metadata", noted).drop("_status", "_started", "_completed", "_error")
 
 
 def job_outcomes(spans: DataFrame) -> DataFrame:
