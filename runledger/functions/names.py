@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Name fragments of machine types with an ARM processor.
 ARM_NAMES = ("gh200", "grace")
+# Folders of stored files and of files on the machine of a run.
+PROJECTS, MEDIA, DATA, CONFIG = "media/projects/", "media/", "data/", "/config.yaml"
 
 
 def model_id(iteration: Column, epoch: Column) -> Column:
@@ -36,19 +38,19 @@ def basename(path: Column) -> Column:
 
 def run_prefix(project_id: Column, run_id: Column) -> Column:
     """Storage folder of a run."""
-    return F.concat(F.lit("media/projects/"), project_id, F.lit("/"), run_id)
+    return F.concat(F.lit(PROJECTS), project_id, F.lit("/"), run_id)
 
 
 def config_path(project_id: Column, run_id: Column) -> Column:
-    return F.concat(run_prefix(project_id, run_id), F.lit("/config.yaml"))
+    return F.concat(run_prefix(project_id, run_id), F.lit(CONFIG))
 
 
 def media_path(file_name: Column) -> Column:
-    return F.concat(F.lit("media/"), F.coalesce(file_name, F.lit("")))
+    return F.concat(F.lit(MEDIA), F.coalesce(file_name, F.lit("")))
 
 
 def data_path(file_name: Column) -> Column:
-    return F.concat(F.lit("data/"), basename(media_path(file_name)))
+    return F.concat(F.lit(DATA), basename(media_path(file_name)))
 
 
 def gpu_arch(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.functions.names import basename, data_path
+from runledger.functions.names import basename, config_path, data_path, media_path, run_prefix
 from runledger.functions.payload import is_present, json_default, text_at
 from runledger.operators.tables import layered
 from runledger.session import compute_once
@@ -74,6 +74,7 @@ NUMBERS = (
 )
 # Blocks a request must have, in the order they are looked at.
 BLOCKS = ("project", "prompt", "train_dataset", "eval_dataset")
+FAILING = "Invalid data: '{}' key is missing or empty"
 DEFAULT_TASK = "text_classification"
 
 
@@ -105,7 +106,7 @@ def failing_block(request: Column) -> Column:
     for block in reversed(BLOCKS):
         text = text_at(request, f"$.{block}")
         empty = text.isNull() | text.isin("", "{}", "[]", "0", "false")
-        failing = F.when(empty, F.lit(f"Invalid data: '{block}' key is missing or empty")).otherwise(failing)
+        failing = F.when(empty, F.lit(FAILING.format(block))).otherwise(failing)
     return failing
 
 
@@ -120,7 +121,7 @@ def _dataset(request: Column, block: str) -> dict[str, Column]:
     side = block.split("_")[0]
     at = f"$.{block}"
     file_name, image_root = json_default(request, f"{at}.file_name", ""), json_default(request, f"{at}.image_root", "")
-    media = F.concat(F.lit("media/"), F.coalesce(file_name, F.lit("None")))
+    media = media_path(F.coalesce(file_name, F.lit("None")))
     has_images = F.coalesce(image_root, F.lit("")) != ""
     return {
         f"{side}_dataset_id": json_default(request, f"{at}.id", ""),
@@ -130,7 +131,7 @@ def _dataset(request: Column, block: str) -> dict[str, Column]:
         f"{side}_input_col": json_default(request, f"{at}.input_col", ""),
         f"{side}_output_cols": json_default(request, f"{at}.output_cols", "[]"),
         f"{side}_think_col": json_default(request, f"{at}.think_col", ""),
-        f"{side}_image_root_s3_path": F.when(has_images, F.concat(F.lit("media/"), image_root)),
+        f"{side}_image_root_s3_path": F.when(has_images, media_path(image_root)),
         f"{side}_image_root_path": F.when(has_images, F.lit(f"data/{side}_images")),
         f"{side}_image_root": image_root,
     }
@@ -147,7 +148,7 @@ def derive_config(
         return F.coalesce(value, F.lit("None"))
 
     project_id, run_id = json_default(r, "$.project.id", ""), json_default(r, "$.training_run_id", "")
-    prefix = F.concat(F.lit("media/projects/"), spelt(project_id), F.lit("/"), spelt(run_id))
+    run = spelt(project_id), spelt(run_id)
     think = F.when(is_present(r, "$.prompt.think_flag"), F.try_variant_get(r, "$.prompt.think_flag", "boolean"))
     columns = {
         "project_name": json_default(r, "$.project.name", ""),
@@ -155,8 +156,8 @@ def derive_config(
         "project_description": json_default(r, "$.project.description", ""),
         "task_type": json_default(r, "$.project.task_type", DEFAULT_TASK),
         "training_run_id": run_id,
-        "training_s3_path": prefix,
-        "config_s3_path": F.concat(prefix, F.lit("/config.yaml")),
+        "training_s3_path": run_prefix(*run),
+        "config_s3_path": config_path(*run),
         "config_file_path": F.lit("projects_yaml/config.yaml"),
         "prompt_id": json_default(r, "$.prompt.id", ""),
         "prompt_name": json_default(r, "$.prompt.name", ""),
