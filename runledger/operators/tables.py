@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.operators.chunks import small_side
 from runledger.operators.ranking import last_wins
 
 
@@ -110,8 +109,3 @@ def attached(owners: DataFrame, owner: str, names: str, items: DataFrame, item_n
     """Items an owner lists by name; an owner with a null list has none."""
     listed = owners.select(owner, F.explode(F.array_distinct(names)).alias(item_name))
     return items.join(listed, item_name)
-
-
-def bounded_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Broadcast hint if the side, counted up to the limit, stays within it."""
-    return small_side(df, df.limit(limit + 1).count())
