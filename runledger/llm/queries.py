@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import exact_dedup, line_dedup, mixing
+from runledger.llm import bpe, exact_dedup, fingerprints, language, line_dedup, mixing, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,55 @@ FROM judged GROUP BY doc_id
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    both = bpe.decode(bpe.encode(documents(spark, sf)))
+    n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    return both.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf)).withColumnRenamed("edited", "edited_sha256")
+
+
+@query()
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(documents(spark, sf))
+
+
+def written(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    names = F.array(*[F.lit(kind) for kind in kinds])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+
+def numbers(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """The number of spans of each kind."""
+    of_kind = F.transform(spans, lambda s: s["kind"])
+    return [F.size(F.array_compact(F.transform(of_kind, lambda k: F.when(k == place, k)))).cast("long").alias(f"n_{kind}")
+            for place, kind in enumerate(kinds)]
+
+
+@query()
+def op7_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = numbers(base, pii.KINDS)
+    return found.select(
+        "doc_id", *counts, F.sha2(written(base, pii.KINDS), 256).alias("base_sha256"),
+        written(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
+@query()
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.secret_spans(documents(spark, sf))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = numbers(base, secrets.KINDS[:3])
+    return found.select(
+        "doc_id", *counts, F.sha2(written(base, secrets.KINDS), 256).alias("base_sha256"),
+        written(F.col("spans"), secrets.KINDS).alias("spans"),
+    )
