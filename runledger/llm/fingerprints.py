@@ -25,7 +25,7 @@ from runledger.session import stored
 #: Terms are kept if at least one document in RARE has them and at most one in COMMON.
 RARE, COMMON = 2000, 8
 #: A subset holds a term with probability 1 / 2 ** n; the first is the whole lexicon.
-SUBSETS = (0, *[n for n in range(2, 11) for _ in range(4)])
+SUBSETS = (0, 2, 4, *[5, 6] * 3, *[7, 8] * 5, *[9, 10] * 8)
 #: Hexadecimal digits of the fingerprint for each subset.
 DIGITS = 6
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
