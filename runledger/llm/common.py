@@ -43,3 +43,12 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) ->
         .withColumn(name, F.col("_start") + F.sum(value).over(within))
         .drop("_range", "_start")
     )
+
+
+#: Rows of numbers that a broadcast may hold: some 100 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def counted_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a stored table of a few numbers a row if a count allows it; beyond, Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= limit else df

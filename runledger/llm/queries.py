@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, exact_dedup, fingerprints, language, line_dedup, mixing, pii, secrets
+from runledger.llm import bpe, exact_dedup, fingerprints, jaccard, language, line_dedup, mixing, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,32 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", *counts, F.sha2(written(base, secrets.KINDS), 256).alias("base_sha256"),
         written(F.col("spans"), secrets.KINDS).alias("spans"),
     )
+
+
+@query(r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+                             WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                             ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END) AS gram
+  FROM worded
+), sizes AS (
+  SELECT doc_id, count(gram) AS n FROM worded LEFT JOIN grams USING (doc_id) GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)
+), reach AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT doc_id, n AS n_shingles, coalesce(least(doc_id, min(b)), doc_id) AS component_id
+FROM sizes LEFT JOIN reach ON a = doc_id GROUP BY doc_id, n
+""")
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.link_groups(documents(spark, sf))
