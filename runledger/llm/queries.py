@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, exact_dedup, fingerprints, jaccard, language, line_dedup, mixing, pii, secrets
+from runledger.llm import bpe, exact_dedup, fingerprints, jaccard, language, line_dedup, mixing, pii, secrets, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,8 @@ FROM sizes LEFT JOIN reach ON a = doc_id GROUP BY doc_id, n
 """)
 def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.link_groups(documents(spark, sf))
+
+
+@query()
+def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf))
