@@ -1,29 +1,51 @@
-"""Documents to a mixed training set, stage by stage, each written and read again before the next."""
+"""Documents to a mixed, encoded training set, stage by stage, each written and read again before the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runledger.llm import exact_dedup, mixing
+from runledger.llm import bpe, exact_dedup, jaccard, language, mixing
 from runledger.session import stored
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter, or of no one language, go."""
+    return language.keep_identified(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays, the one with the largest ``doc_id``."""
     return exact_dedup.drop_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest ``doc_id``."""
+    return jaccard.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
     return mixing.take_mix(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of each document: its ids, and the digest of what they decode to."""
+    both = bpe.decode(bpe.encode(docs))
+    return both.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 STAGES = [
-    ("exact_dedup", deduplicate),
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
     ("mixing", mix_sources),
+    ("bpe", encode),
 ]
 
-#: Language models, encoders and links between near copies are beyond SQL; tests hold the rows against brute force.
+#: Language models, links between near copies and encoders are beyond SQL; a test holds the rows against brute force.
 ORACLE_SQL = None
 
 

@@ -458,3 +458,13 @@ def link_groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     alone = placed_members.where(F.col("node").isNull()).withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")]
     return in_groups.select(*columns).union(alone.select(*columns))
+
+
+def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component, all columns as they are.
+
+    Rows without a ``doc_id`` and texts without words stay; rows alike in ``doc_id`` stay or go together.
+    """
+    linked = link_groups(docs, limit)
+    dropped = stored(linked.where("component_id < doc_id").select("doc_id").distinct(), "dropped")
+    return docs.join(counted_side(dropped), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

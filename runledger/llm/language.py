@@ -32,6 +32,8 @@ PRIOR, UNSEEN = 0.02, 1e-7
 #: Words that a Python worker remembers, and how many are worked out together.
 HELD, TOGETHER = 400_000, 20_000
 UNKNOWN = "und"
+#: Score under which a text is rejected as a mixture or as none of the languages.
+LEAST = 0.5
 
 
 @lru_cache(maxsize=2)
@@ -195,6 +197,23 @@ class Identifier:
         return self.languages[best], float(chances[best] / chances.sum())
 
 
+def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose language :func:`identify` tells with a score of at least ``least``, all columns as they are.
+
+    Texts that get ``und`` go. Rows are judged where they are read; nothing is shuffled.
+    """
+    models = docs.sparkSession.sparkContext.broadcast(learn(docs, path, sample))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Identifier(models.value, path)
+        for batch in slices(batches, 1500):
+            found = judge(batch.column(place).to_pylist())
+            yield batch.filter(pa.array([language != UNKNOWN and score >= least for language, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, held_out, lang_pred, score``.
 
