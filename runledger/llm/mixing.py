@@ -73,7 +73,7 @@ def mix(
     aims = aims.join(offsets, aims["source"].eqNullSafe(offsets["source"])).drop(offsets["source"])
     timed = ordered.join(aims, F.col("_source").eqNullSafe(F.col("source")))
     done = F.col("_total") - F.col("_offset")
-    times = [F.struct(F.lit(n).alias("round"), ((done + F.col("source_size") * n) / F.col("target")).alias("finish")) for n in range(rounds)]
+    times = [F.struct(F.lit(n).alias("round"), F.try_divide(done + F.col("source_size") * n, F.col("target")).alias("finish")) for n in range(rounds)]
     copies = timed.select("doc_id", "_source", "_key", "size", "source_size", "target", F.inline(F.array(*times)))
     copies = copies.withColumn("finish", F.coalesce("finish", F.lit(0.0)))  # a source without words has target 0
     budget = aims.agg(F.sum(F.col("target").cast("decimal(38,6)")).cast("double").alias("_budget"))

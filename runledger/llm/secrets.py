@@ -24,8 +24,8 @@ KINDS = ("assign", "access", "hex", "random")
 SAMPLE = 2000
 #: Least log-likelihood ratio of a secret, in all and for each character.
 TOTAL, EACH = 15.0, 0.5
-#: Count that each pair of characters has beforehand.
-PRIOR = 0.5
+#: Count that each character has beforehand, and the weight of single characters in that of pairs.
+PRIOR, SINGLE = 0.5, 10.0
 
 # The base rules. The stretches that access and hex leave out hold no match further on.
 ASSIGN = re.compile(
@@ -36,8 +36,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-#: Words and numbers.
-IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_-]{5,}|[0-9]{4,}")
+#: Ordinary strings: words shorter than any token that is judged, and numbers.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z][A-Za-z0-9_-]{5,14}|[0-9]{4,})(?![A-Za-z0-9+/_=-])")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -62,6 +62,12 @@ def codes(string: str) -> np.ndarray:
     return np.array([0, *[min(ord(c), 127) for c in string]], np.int64)
 
 
+def log_chances(counts: np.ndarray) -> np.ndarray:
+    """Log-probability of each character after each; pairs seen too seldom follow the single characters."""
+    single = counts.sum(axis=0) + PRIOR
+    return np.log((counts + SINGLE * single / single.sum()) / (counts.sum(axis=1, keepdims=True) + SINGLE))
+
+
 def ratio(string: str, models: np.ndarray) -> float:
     """Log-likelihood ratio for random against ordinary; ``models`` is the difference of the two."""
     seen = codes(string)
@@ -120,19 +126,19 @@ def train_both(docs: DataFrame, found: DataFrame, sample: int = SAMPLE) -> np.nd
 
     def counted(strings: DataFrame) -> np.ndarray:
         parts = strings.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-        counts = np.full(128 * 128, PRIOR)
+        counts = np.zeros(128 * 128)
         for row in parts.collect():
             counts[row.pair] += row.n
         return counts.reshape(128, 128)
 
     order = F.xxhash64("doc_id")
     random = counted(found.where(F.size("values") > 0).select("doc_id", "values").orderBy(order).limit(sample).select("values"))
-    if random.sum() == PRIOR * 128 * 128:
+    if not random.any():
         return None
     ids = docs.select("doc_id").orderBy(order).limit(sample).select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(text_or_empty().alias("text"))
     plain = counted(texts.mapInArrow(ordinary, "strings array<string>"))
-    return np.log(random / random.sum(axis=1, keepdims=True)) - np.log(plain / plain.sum(axis=1, keepdims=True))
+    return log_chances(random) - log_chances(plain)
 
 
 def secret_spans(docs: DataFrame, sample: int = SAMPLE, total: float = TOTAL, each: float = EACH) -> DataFrame:
