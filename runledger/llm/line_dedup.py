@@ -126,7 +126,8 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
     """
     lost = dropped_lines(docs, batches, min_chars).select(F.col("doc_id").alias("_id"), "places")
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    both = texts.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # A merge at any size: a plan that changed with the input would tell nothing about a larger one.
+    both = texts.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = F.split("text", "\n", -1)
     cuts = F.coalesce("places", F.array().cast("array<int>"))
     both = both.select("doc_id", F.inline(F.array(F.struct(lines.alias("lines"), cuts.alias("cuts")))))
