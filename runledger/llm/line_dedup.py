@@ -91,17 +91,18 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_
     ``doc_id`` are one document, so none of their lines goes for the other's sake.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "text")
     index = LineIndex(spark, shuffle_partitions(docs))
     bounds = [None, *batch_bounds(docs, batches), None]
     parts = []
     for low, high in zip(bounds, bounds[1:]):
+        # On the column as it is, so that a scan reads the batch only; null comes first.
         part = docs
         if low is not None:
             part = part.where(F.col("doc_id") >= F.lit(int(low)))
         if high is not None:
-            part = part.where(F.col("doc_id") < F.lit(int(high)))
-        lines = lines_of(part, min_chars)
+            part = part.where((F.col("doc_id") < F.lit(int(high))) | (F.lit(low is None) & F.col("doc_id").isNull()))
+        part = part.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "text")
+        lines = stored(lines_of(part, min_chars), "lines")
         firsts = lines.groupBy(*HASH).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
         new = stored(index.missing(firsts), "line_owners")
         # Lines that stay are most of all lines and need no join: only hashes with another holder are looked up.
