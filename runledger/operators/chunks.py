@@ -1,8 +1,8 @@
 """Splitting the rows of a heavy key into ordered chunks.
 
-A window partitioned by key alone puts all rows of a key into one task. Where a key holds
-more than ``max_rows`` rows, its rows are cut at quantiles of the order column, and windows
-run per (key, chunk). Rows of all other keys carry a null chunk, so they stay together.
+A window partitioned by key alone puts all rows of a key into one task. Where a key holds more
+than ``max_rows`` rows, each of its rows gets the number of its chunk, and windows run per (key,
+chunk). Rows of all other keys carry a null chunk, so they stay together.
 """
 
 from __future__ import annotations
@@ -12,57 +12,57 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.session import stored
+
 MAX_ROWS = 2_000_000
-# Limit on the cut points kept for one key; beyond it chunks get larger, none is lost.
-MAX_CUTS = 4095
-# A side of at most this many narrow rows is small enough to send to every executor.
-BROADCAST_ROWS = 200_000
 
 CHUNK = "_chunk"
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side whose counted size allows it; AQE decides on larger ones."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def heavy_keys(df: DataFrame, key: Sequence[str], max_rows: int) -> DataFrame:
     """Keys with more than ``max_rows`` rows: at most (all rows / max_rows) of them."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows)
 
 
-def _cut_index(cuts: Column, value: Column) -> Column:
-    """Number of cut points at or below a value, by halving the ascending array."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(MAX_CUTS.bit_length()))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at),
+def places(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``key, order, _rank, _rows``: of each distinct order tuple its first row's number, and its key's rows.
+
+    Tuples are dealt out in ranges of (key, order) and numbered there; sums per range and key say how
+    many rows of the key come before the range. No task holds more than a range, however heavy a key is.
+    """
+    tuples = [*key, *order]
+    counted = df.groupBy(*tuples).agg(F.count(F.lit(1)).alias("_n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(counted.repartitionByRange(n, *tuples).withColumn("_range", F.spark_partition_id()), "ranges")
+    of_key = Window.partitionBy(*key)
+    before = of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*key, "_range").agg(F.sum("_n").alias("_sum")).select(
+        *[F.col(c).alias(f"_of_{c}") for c in (*key, "_range")],
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.sum("_sum").over(of_key).alias("_rows"),
     )
+    inside = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = ranged.withColumn("_place", F.sum("_n").over(inside) - F.col("_n") + 1)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, "_range")]
+    return numbered.join(sums, same).select(*tuples, (F.col("_place") + F.col("_before")).alias("_rank"), "_rows")
 
 
-def add_chunks(df: DataFrame, key: Sequence[str], order: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def add_chunks(df: DataFrame, key: Sequence[str], order: str | Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
     """Add ``_chunk`` where some key is heavy; return ``df`` as it is where none is.
 
-    Chunks ascend with ``order``, and equal values never part. One count per key is read
-    first (one narrow, pre-aggregated pass); only a heavy key costs a second pass.
+    Chunks ascend with ``order`` and begin every ``max_rows`` rows of their key. Rows alike in all of
+    ``order`` never part; but for them, no chunk is larger. One count per key is read first (one narrow,
+    pre-aggregated pass); only a heavy key costs more. Rows then get their chunk by key and order
+    together, so a heavy key's rows meet in no task.
     """
-    counts = heavy_keys(df, key, max_rows)
-    found = counts.agg(F.count(F.lit(1)).alias("keys"), F.max("_rows").alias("rows")).first()
-    if not found["keys"]:
+    order = [order] if isinstance(order, str) else list(order)
+    if heavy_keys(df, key, max_rows).limit(1).count() == 0:
         return df
-    cuts_wanted = min(MAX_CUTS, -(-found["rows"] // max_rows))
-    shares = [i / (cuts_wanted + 1) for i in range(1, cuts_wanted + 1)]
-    heavy = small_side(counts.select(*key), found["keys"])
-    cuts = (
-        df.select(*key, order)
-        .join(heavy, list(key))
-        .groupBy(*key)
-        .agg(F.percentile_approx(order, shares, max(10_000, 4 * cuts_wanted)).alias("_cuts"))
-    )
-    cuts = small_side(cuts, found["keys"] * cuts_wanted)
-    chunk = F.when(F.col("_cuts").isNotNull(), _cut_index(F.col("_cuts"), F.col(order)))
-    return df.join(cuts, list(key), "left").withColumn(CHUNK, chunk).drop("_cuts")
+    tuples = [*key, *order]
+    found = places(df, key, order).where(F.col("_rows") > max_rows)
+    chunk = F.floor((F.col("_rank") - 1) / max_rows).cast("long").alias(CHUNK)
+    found = found.select(*[F.col(c).alias(f"_of_{c}") for c in tuples], chunk)
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in tuples]
+    return df.join(found, same, "left").drop(*[f"_of_{c}" for c in tuples])
 
 
 def has_chunks(df: DataFrame) -> bool:
@@ -92,7 +92,7 @@ def positions(
     With ``max_rows`` None no key is known to be heavy, and none is looked for.
     """
     if max_rows is not None and not has_chunks(df):
-        df = add_chunks(df, key, order[0], max_rows)
+        df = add_chunks(df, key, order, max_rows)
     local = F.row_number().over(chunk_window(df, key, order))
     if not has_chunks(df):
         return df.withColumn(name, local.cast("long"))

@@ -1,7 +1,8 @@
 """First, best and last rows per key.
 
-Each is ``row_number() <= n``, which Spark also applies before the exchange: a map task sends
-at most n rows per key, so a heavy key is cut down where its rows are.
+Each is ``row_number() <= n``. Up to LIMITED rows Spark also applies it before the exchange: a map
+task sends at most n rows per key, so a heavy key is cut down where its rows are. For more rows a
+first rank runs over slices of each key.
 """
 
 from __future__ import annotations
@@ -13,9 +14,15 @@ from pyspark.sql import functions as F
 
 # Fixed value: a score has to be above this to win.
 SCORE_FLOOR = -1.0
+#: Rows per key that Spark limits before the exchange by default, and the slices of a key beyond that.
+LIMITED, SLICES = 1000, 64
 
 
 def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
+    if n > LIMITED:
+        slice_ = F.pmod(F.xxhash64(*df.columns), F.lit(SLICES))
+        part = F.row_number().over(Window.partitionBy(*key, slice_).orderBy(*order))
+        df = df.withColumn("_rank", part).where(F.col("_rank") <= n).drop("_rank")
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 

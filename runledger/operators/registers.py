@@ -62,6 +62,22 @@ def _chunk_carry(df: DataFrame, key: Sequence[str], order: Sequence[str], regist
     )
 
 
+def _with_initial(df: DataFrame, key: Sequence[str], initial: DataFrame) -> DataFrame:
+    """Add what the registers start from to every row.
+
+    It is joined to the groups of rows, one row per key or chunk, and to the rows by these.
+    """
+    names = [c for c in initial.columns if c not in key]
+    start = initial.select(*key, *[F.col(c).alias(f"_initial_{c}") for c in names])
+    if not has_chunks(df):
+        return df.join(start, list(key), "left")
+    groups = df.select(*key, CHUNK).distinct().join(start, list(key)).select(
+        *[F.col(c).alias(f"_of_{c}") for c in (*key, CHUNK)], *[f"_initial_{c}" for c in names]
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, CHUNK)]
+    return df.join(groups, same, "left").drop(*[f"_of_{c}" for c in (*key, CHUNK)])
+
+
 def with_registers(
     df: DataFrame,
     passes: Sequence[RegisterPass],
@@ -77,11 +93,9 @@ def with_registers(
     struct ``v`` under the register's name (null where it never changed).
     """
     if max_rows is not None and not has_chunks(df):
-        df = add_chunks(df, key, order[0], max_rows)
+        df = add_chunks(df, key, order, max_rows)
     if initial is not None:
-        names = [c for c in initial.columns if c not in key]
-        start = initial.select(*key, *[F.col(c).alias(f"_initial_{c}") for c in names])
-        df = df.join(start, list(key), "left")
+        df = _with_initial(df, key, initial)
     for make in passes:
         registers = make(df)
         if has_chunks(df):

@@ -1,6 +1,7 @@
 """Edge cases that the given tables do not hold."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from runledger.functions.times import minutes_between, or_minutes, parse_local_t
 from runledger.operators.best import iteration_metrics, job_metrics, update_iterations, update_jobs
 from runledger.operators.catalog import cheapest
 from runledger.operators.chunks import CHUNK, add_chunks, paged_arrays
-from runledger.operators.ranking import argmax_first, first_rows
+from runledger.operators.ranking import argmax_first, first_rows, tail_rows
 from runledger.operators.tables import attached, get_one, layered, update_rows, where_eq
 from runledger.plans.config import derive_config, task_configs, validate_requests
 from runledger.plans.jobs import apply_transitions
@@ -74,6 +75,33 @@ def test_chunks_cover_a_heavy_key_in_order(spark):
     assert CHUNK not in add_chunks(df, ["k"], "id", 1000).columns
 
 
+def test_chunks_keep_their_bound_whatever_the_order_columns_hold(spark):
+    df = spark.range(100_000).select(F.lit("hot").alias("k"), (F.col("id") % 3).alias("a"), F.col("id").alias("b"))
+    rows = df.unionByName(spark.createDataFrame([("light", 1, None), ("light", None, 2)], "k string, a long, b long"))
+    cut = add_chunks(rows, ["k"], ["a", "b"], 10)
+    sizes = cut.where("k = 'hot'").groupBy(CHUNK).agg(F.count("*").alias("n"), F.min(F.struct("a", "b")).alias("low"), F.max(F.struct("a", "b")).alias("high"))
+    sizes = sizes.orderBy(CHUNK).collect()
+    assert len(sizes) == 10_000 and {r.n for r in sizes} == {10}
+    assert all(x.high < y.low for x, y in zip(sizes, sizes[1:]))
+    assert cut.where(f"k = 'light' AND {CHUNK} IS NULL").count() == 2
+    joins = re.findall(r"Join \[(.*?)\], \[", cut._jdf.queryExecution().executedPlan().toString())
+    # Rows meet their chunk by key and order, sums of ranges meet by key and range: never by the key alone.
+    assert joins and all(re.search(r"\b(a|b|_range)#", keys) for keys in joins), joins
+
+
+def test_rows_alike_never_part(spark):
+    rows = [("k", n // 7, None if n % 2 else 1) for n in range(210)]
+    cut = add_chunks(spark.createDataFrame(rows, "k string, a long, b long"), ["k"], ["a", "b"], 5)
+    assert cut.groupBy("k", "a", "b").agg(F.countDistinct(CHUNK).alias("n")).where("n > 1").count() == 0
+    assert cut.groupBy(CHUNK).count().agg(F.max("count")).first()[0] <= 5 + 4
+
+
+def test_many_last_rows_of_a_heavy_key(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), "id")
+    tail = tail_rows(df, ["k"], ["id"], 1500)
+    assert sorted(r.id for r in tail.collect()) == list(range(2000, 5000))
+
+
 def test_paged_arrays_keep_every_element(spark):
     df = spark.range(95).select(F.lit(1).alias("k"), "id", F.when(F.col("id") % 7 != 0, F.col("id")).alias("v"))
     for max_rows in (10, 1000):
