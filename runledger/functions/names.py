@@ -36,6 +36,11 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, "[^/]*$", 0)
 
 
+def file_path() -> Column:
+    """Path of the file that a row was read from, as the file is named; Spark's metadata has it as a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def run_prefix(project_id: Column, run_id: Column) -> Column:
     """Storage folder of a run."""
     return F.concat(F.lit(PROJECTS), project_id, F.lit("/"), run_id)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # The log zone is Asia/Kolkata, which has had this one offset since 1945.
 LOG_ZONE = "Asia/Kolkata"
 LOG_OFFSET = "+05:30"
+LOG_OFFSET_MINUTES = 330
 # Fixed value: a reported duration above one day is not believed (minutes).
 MAX_MINUTES = 24 * 60
 
@@ -27,6 +28,12 @@ def event_time(ts: Column, ingest_ts: Column) -> Column:
     return F.coalesce(ts, ingest_ts)
 
 
+def local_time(instant: Column) -> Column:
+    """Wall-clock time in the log's zone at an instant, whatever the session's zone."""
+    seconds = (F.unix_micros(instant) / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(mins=F.lit(LOG_OFFSET_MINUTES), secs=seconds)
+
+
 def iso_local(ts: Column) -> Column:
     """ISO text with the log zone's offset, to the second."""
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(LOG_OFFSET))

@@ -34,10 +34,10 @@ def semi(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def job_tree(jobs: DataFrame, iterations: DataFrame, epochs: DataFrame, evals: DataFrame) -> DataFrame:
-    """Jobs with their steps, and each step with its epochs and evaluation results.
+    """Jobs with their steps, and each step with its epochs and evaluation results, a row for each of either.
 
-    Epochs hang on training steps and results on evaluation steps, so no step has both and the
-    two left joins do not multiply rows.
+    A step without any is one row. Epochs and results are rows of one table, so a step that has both has
+    as many rows as it has of them.
     """
     steps = iterations.select(
         F.col("uuid").alias("iteration_uuid"), F.col("training_job_uuid").alias("job_uuid"), "step_type",
@@ -45,11 +45,11 @@ def job_tree(jobs: DataFrame, iterations: DataFrame, epochs: DataFrame, evals: D
     )
     epoch_rows = epochs.select("iteration_uuid", "epoch_number", F.col("uuid").alias("epoch_uuid"))
     eval_rows = evals.select("iteration_uuid", "model_id", "dataset", F.col("uuid").alias("eval_uuid"))
+    below = epoch_rows.unionByName(eval_rows, allowMissingColumns=True)
     return (
         jobs.select(F.col("uuid").alias("job_uuid"), "status")
         .join(steps, "job_uuid")
-        .join(epoch_rows, "iteration_uuid", "left")
-        .join(eval_rows, "iteration_uuid", "left")
+        .join(below, "iteration_uuid", "left")
     )
 
 

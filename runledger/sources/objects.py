@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,19 @@ TRANSFERS = (
 )
 # Fixed value: logs are not published.
 LOGS = r"\.log$"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
 def list_objects(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """Objects below a folder whose relative name begins with ``prefix``; no content is read."""
+    """Objects below a folder whose relative name begins with ``prefix``; no content is read.
+
+    Names are as stored. Spark's listing leaves out files whose name begins with ``_`` or ``.``.
+    """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    full = F.col("_metadata.file_path")
-    root = path.rstrip("/") + "/"
-    name = F.substring_index(full, root, -1)
+    # The scheme and host come and go with the file system; what follows them begins with the root once.
+    full = F.regexp_replace("path", SCHEME, "")
+    root = re.sub("/+", "/", re.sub(SCHEME, "", path)).rstrip("/") + "/"
+    name = F.substring(full, F.lit(len(root) + 1), F.length(full))
     return listing.select(
         name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified")
     ).where(F.startswith("name", F.lit(prefix)) & ~F.endswith("name", F.lit("/")))

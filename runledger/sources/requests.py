@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runledger.functions.names import file_path
+
 
 def read_requests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Request files with a sound envelope: ``(file, stem, document)``.
@@ -13,7 +15,7 @@ def read_requests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     (``file``); each document is read whole.
     """
     raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
+        file_path().alias("file"),
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("stem"),
         F.try_parse_json("value").alias("document"),
     )

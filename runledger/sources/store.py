@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.schemas import TABLES
+from runledger.session import stored
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
@@ -53,6 +54,30 @@ def write_folder(
     return seen.get["rows"]
 
 
+def change_table(
+    spark: SparkSession, table: str, part: str, keys: DataFrame, key: Sequence[str], change: Callable[[DataFrame], DataFrame]
+) -> int:
+    """Change a table partitioned by ``part`` where it has, or is to have, rows of ``keys``; return the rows written.
+
+    ``keys`` are the changed keys, with ``part`` where a change adds or moves rows. ``change`` gets the rows of
+    the partitions concerned. Its result is written aside first and then replaces these partitions; others
+    are neither read in full nor written. A partition that ends up empty is dropped.
+    """
+    rows = spark.table(table)
+    names = rows.columns
+    concerned = rows.select(*key, part).join(keys.select(*key), list(key), "left_semi").select(part)
+    if part in keys.columns:
+        concerned = concerned.union(keys.where(F.col(part).isNotNull()).select(part))
+    concerned = stored(concerned.distinct(), "concerned")
+    aside = stored(change(rows.join(concerned, part, "left_semi").select(*names)).select(*names), "changed")
+    for gone in concerned.join(aside.select(part).distinct(), part, "left_anti").collect():  # a row for each partition
+        value = str(gone[0]).replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{part}` = '{value}')")
+    counted, seen = _counted(aside)
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    return seen.get["rows"]
+
+
 def sql(spark: SparkSession, text: str, args: Mapping[str, object] | None = None, **views: DataFrame) -> DataFrame:
     """Run SQL with named parameters; DataFrames given by keyword can be named in it in braces."""
     return spark.sql(text, args=dict(args or {}), **views)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from runledger.functions.names import file_path
+from runledger.functions.times import local_time
 from runledger.operators.chunks import MAX_ROWS, add_chunks
 from runledger.operators.spans import NUMBER, SPANS, assemble, span_changes, track
 from runledger.sources.logs import decode_events, number_lines, split_bytes
@@ -35,26 +37,31 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path).select(
         F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("file"),
+        file_path().alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_modification_time").alias("_landed"),
     )
 
 
 def segment_lines(batch: DataFrame) -> DataFrame:
-    """``(job_uuid, seq, line)`` of a batch of segments."""
+    """``(job_uuid, seq, line, ingest_ts)`` of a batch of segments, the last being when the segment was landed."""
     large = batch.where(F.col("_size") > split_bytes(batch.sparkSession)).select("file").distinct()
     path = F.regexp_extract("file", r"([^/]+)/(\d+)\.json$", 0)
     first = F.regexp_extract(path, r"(\d+)\.json$", 1).cast("long")
     return number_lines(batch, "file", large).select(
-        F.substring_index(path, "/", 1).alias("job_uuid"), (first + F.col("seq") - 1).alias("seq"), "line"
+        F.substring_index(path, "/", 1).alias("job_uuid"), (first + F.col("seq") - 1).alias("seq"), "line",
+        local_time(F.col("_landed")).alias("ingest_ts"),
     )
 
 
 def events_of_lines(batch: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Typed events of a batch from :func:`stream_lines`, heavy jobs cut into chunks."""
+    """Typed events of a batch from :func:`stream_lines`, heavy jobs cut into chunks.
+
+    An event without a time gets that of its segment, so a batch that is run again gives the same events.
+    """
     lines = add_chunks(segment_lines(batch), ["job_uuid"], "seq", max_rows)
-    return decode_events(lines, F.localtimestamp())[0]
+    return decode_events(lines, F.col("ingest_ts"))[0]
 
 
 def _registers_after(changes: DataFrame, before: DataFrame | None) -> DataFrame:
@@ -101,8 +108,3 @@ def stream_spans(
 def current_spans(spark: SparkSession, out: str) -> DataFrame:
     """All spans as of the batches written so far."""
     return assemble(spark.read.parquet(f"{out}/changes"))
-
-
-def upsert_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """``foreachBatch`` sink for keyed changes: one folder per batch, safe to write again."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -75,8 +75,38 @@ def test_large_segments_are_numbered_split_by_split(spark, tmp_path):
         batch = spark.read.text(f"{tmp_path}/j").select(
             F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"),
+            F.col("_metadata.file_modification_time").alias("_landed"),
         )
         rows = segment_lines(batch).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert sorted((r.job_uuid, r.seq, r.line) for r in rows) == [("j", i + 7, f"line {i}") for i in range(500)]
+
+
+def test_an_event_without_a_time_gets_that_of_its_segment(spark, tmp_path):
+    import os
+    from datetime import datetime
+
+    land(tmp_path, "j", ['{"phase":"PROJECT","event":"start","data":{}}'], 1)
+    os.utime(tmp_path / "j" / "1.json", (1705320000, 1705320000))
+    batch = spark.read.text(f"{tmp_path}/j").select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.lit(0).alias("_block"),
+        F.lit(1).alias("_size"), F.col("_metadata.file_modification_time").alias("_landed"),
+    )
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            assert [r.ts for r in events_of_lines(batch).collect()] == [datetime(2024, 1, 15, 17, 30)] * 1
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_listed_names_are_as_stored(spark, tmp_path):
+    from runledger.sources.objects import list_objects
+
+    root = tmp_path / "q"
+    inner = root / str(root).strip("/") / "a b+c%20.txt"
+    inner.parent.mkdir(parents=True)
+    inner.write_text("x")
+    for path in (str(root), f"{root}/", f"file://{root}"):
+        assert [(r.name, r.size) for r in list_objects(spark, path).collect()] == [(str(inner.relative_to(root)), 1)]

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.payload import json_default, parse_strict, text_at
-from runledger.functions.times import iso_local, minutes_between, or_minutes, parse_local_ts, valid_minutes
+from runledger.functions.times import (
+    event_time, iso_local, local_time, minutes_between, or_minutes, parse_local_ts, valid_minutes,
+)
 from runledger.operators.chunks import paged_arrays, positions
 from runledger.operators.pairs import span_pairs as pairs
 from runledger.operators.quality import classify_failure, event_lists, events_by_phase, stalled_jobs
@@ -164,6 +166,18 @@ def nonzero_minutes(spark, sf):
     return _reported(spark, sf).select("event_id", F.round(minutes, 9).alias("minutes"))
 
 
+@query("""
+SELECT event_id, strftime(CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-01-15 17:30:00' ELSE ts END, '%Y-%m-%d %H:%M:%S') AS at
+FROM events""")
+def event_times_or_read(spark, sf):
+    """Events whose time cannot be read get the time of reading, a fixed instant here, in the log's zone."""
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    broken = F.when(_is("error"), F.concat(text, F.lit("x"))).otherwise(text)
+    read = local_time(F.timestamp_seconds(F.lit(1705320000)))
+    at = event_time(parse_local_ts(broken), read)
+    return _events(spark, sf).select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
 @query("""
 SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+05:30' AS iso,
        CASE WHEN event_type = 'error' THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+05:30' END AS parsed,

@@ -13,7 +13,7 @@ from runledger.operators.quality import parse_quality
 from runledger.operators.spans import build_all, build_spans, iterations_of, rejected_starts, track
 from runledger.plans.jobs import job_outcomes
 from runledger.plans.reports import accuracy_report, eval_file_paths, iteration_metadata, job_status, job_time
-from runledger.session import shared_dir, spread
+from runledger.session import shared_dir, spread, stored
 from runledger.sources.logs import decode_events, decode_lines, read_event_lines
 from runledger.streaming.spans import current_spans, stream_spans
 from workload.registry import query, table
@@ -283,21 +283,47 @@ def log_bad_lines(spark, sf):
     return decode_events(_broken_log(spark, sf))[1].select("job_uuid", "seq", "reason")
 
 
-@query("""
-SELECT CAST(user_id % 8 AS VARCHAR) AS job_uuid, count(*) AS lines, count(*) AS last_seq, true AS in_order
-FROM events GROUP BY 1""")
-def log_files_numbered(spark, sf):
-    """Logs written as text, one file per group of users, and read back with line numbers."""
+_NUMBERED_SQL = """SELECT CAST(user_id % 8 AS VARCHAR) AS job_uuid, event_id AS at,
+       row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS seq FROM events"""
+
+
+def _log_files(spark: SparkSession, sf: str) -> str:
+    """Logs written as text, one file per group of users; each line begins with its event's number."""
     root = shared_dir(spark, "logs")
     lines = run_log(spark, sf).withColumn("job", F.pmod(F.col("job_uuid").cast("long"), F.lit(8)))
     text = F.concat_ws("\t", F.lpad(F.col("seq").cast("string"), 19, "0"), "line").alias("value")
     lines.select("job", text).repartition(8, "job").sortWithinPartitions("job", "value").write.partitionBy("job").text(root)
+    return root
+
+
+def _numbered(spark: SparkSession, path: str, **how) -> DataFrame:
     job = F.regexp_extract("file", "job=([0-9]+)/", 1)
-    numbered = read_event_lines(spark, f"{root}/job=*", job)
-    at = F.substring_index("line", "\t", 1).cast("long")
-    rows = numbered.select("job_uuid", "seq", at.alias("at"))
-    in_order = F.min(F.col("at") >= F.col("seq") - 1).alias("in_order")
-    return rows.groupBy("job_uuid").agg(F.count(F.lit(1)).alias("lines"), F.max("seq").alias("last_seq"), in_order)
+    at = F.substring_index("line", "\t", 1).cast("long").alias("at")
+    return read_event_lines(spark, path, job, **how).select("job_uuid", at, "seq")
+
+
+@query(_NUMBERED_SQL)
+def log_files_numbered(spark, sf):
+    """Logs read back with line numbers."""
+    return _numbered(spark, f"{_log_files(spark, sf)}/job=*")
+
+
+@query(_NUMBERED_SQL)
+def log_files_split(spark, sf):
+    """The same, read in splits of a few lines, over which each log is numbered piece by piece."""
+    root, name = _log_files(spark, sf), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        return stored(_numbered(spark, f"{root}/job=*"), "numbered")
+    finally:
+        spark.conf.set(name, before)
+
+
+@query(f"SELECT * FROM ({_NUMBERED_SQL}) WHERE job_uuid = '0'")
+def first_log_file(spark, sf):
+    """Of all files that match, only the first one's lines."""
+    return _numbered(spark, f"{_log_files(spark, sf)}/job=*", first_match=True)
 
 
 # Jobs, steps and results from orders and their lines: a line is an iteration with two evaluations.

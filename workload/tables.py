@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runledger.functions.names import basename, config_path, gpu_arch, model_epoch, model_id, model_iteration, percent
@@ -14,11 +16,12 @@ from runledger.operators.tables import (
 )
 from runledger.plans.config import DEFAULTS, SETTINGS, TASKS, derive_config, validate_requests, write_configs
 from runledger.plans.jobs import apply_transitions, jobs_from_requests
-from runledger.session import shared_dir, spread
+from runledger.schemas import TABLES
+from runledger.session import shared_dir, spread, stored
 from runledger.sources.datasets import load_dataset
 from runledger.sources.objects import list_objects, sync_plan as missing_objects, transfer_plan
 from runledger.sources.requests import read_requests, sound_envelope, unwrap_request
-from runledger.sources.store import sql as run_sql, write_folder
+from runledger.sources.store import append, change_table, create_tables, drop_tables, list_tables, sql as run_sql, write_folder
 from workload.registry import query, table
 
 
@@ -116,10 +119,11 @@ def entity_counts(spark, sf):
 
 @query("""
 SELECT CAST(c_custkey AS VARCHAR) AS job_uuid, c_mktsegment AS status, CAST(o_orderkey AS VARCHAR) AS iteration_uuid,
-       l_linenumber AS epoch_number, count(*) AS n
-FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4""")
+       CASE WHEN l_returnflag <> 'R' THEN l_linenumber END AS epoch_number,
+       CASE WHEN l_returnflag = 'R' THEN CAST(l_suppkey AS VARCHAR) END AS model_id, count(*) AS n
+FROM customer JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4, 5""")
 def job_tree(spark, sf):
-    """Customers, their orders and the lines of those, as jobs, steps and epochs."""
+    """Customers, their orders and the lines of those, as jobs, steps, epochs and, where returned, results."""
     jobs = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("uuid"), F.col("c_mktsegment").alias("status"))
     steps = table(spark, sf, "orders").select(
         F.col("o_orderkey").cast("string").alias("uuid"), F.col("o_custkey").cast("string").alias("training_job_uuid"),
@@ -127,23 +131,25 @@ def job_tree(spark, sf):
     )
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("iteration_uuid"), F.col("l_linenumber").alias("epoch_number"),
-        F.col("l_partkey").cast("string").alias("uuid"), F.col("l_returnflag").alias("model_id"), F.lit("eval").alias("dataset"),
+        F.col("l_partkey").cast("string").alias("uuid"), F.col("l_suppkey").cast("string").alias("model_id"), F.lit("eval").alias("dataset"),
+        "l_returnflag",
     )
-    joined = tree(jobs, steps, lines, lines.where(F.lit(False)))
-    return joined.groupBy("job_uuid", "status", "iteration_uuid", "epoch_number").agg(F.count(F.lit(1)).alias("n"))
+    joined = tree(jobs, steps, lines.where("l_returnflag <> 'R'"), lines.where("l_returnflag = 'R'"))
+    return joined.groupBy("job_uuid", "status", "iteration_uuid", "epoch_number", "model_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CHANGES_SQL = """changes AS (
   SELECT o_orderkey, o_orderstatus, o_totalprice FROM (
-    SELECT l_orderkey AS o_orderkey, l_returnflag AS o_orderstatus, l_extendedprice AS o_totalprice,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC) AS rn
-    FROM lineitem WHERE l_tax = 0) WHERE rn = 1)"""
+    SELECT CASE WHEN l_tax = 0 THEN -l_orderkey ELSE l_orderkey END AS o_orderkey, l_returnflag AS o_orderstatus, l_extendedprice AS o_totalprice,
+           row_number() OVER (PARTITION BY CASE WHEN l_tax = 0 THEN -l_orderkey ELSE l_orderkey END ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC) AS rn
+    FROM lineitem) WHERE rn = 1)"""
 
 
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Changes of orders: their untaxed lines, in the order shipped."""
-    return table(spark, sf, "lineitem").where("l_tax = 0").select(
-        F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"),
+    """Changes of orders: their lines, in the order shipped; untaxed ones change orders that are not there."""
+    key = F.when(F.col("l_tax") == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    return table(spark, sf, "lineitem").select(
+        key.alias("o_orderkey"), F.col("l_returnflag").alias("o_orderstatus"),
         F.col("l_extendedprice").alias("o_totalprice"), F.struct("l_shipdate", "l_extendedprice", "l_partkey").alias("seq"),
     )
 
@@ -160,11 +166,10 @@ def update_latest(spark, sf):
 @query(f"""WITH {_CHANGES_SQL}
 SELECT o_orderkey, o_orderstatus, o_totalprice FROM changes
 UNION ALL
-SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P'
-  AND o_orderkey NOT IN (SELECT o_orderkey FROM changes)""")
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM changes)""")
 def upsert_latest(spark, sf):
-    """Changes into the orders that are not pending: some replace a row, some are new."""
-    orders = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    """Changes into the orders: some replace a row, some are new."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     return upsert(orders, _changes(spark, sf), ["o_orderkey"], "seq")
 
 
@@ -331,12 +336,14 @@ def transfers(spark, sf):
 
 
 @query("""
-SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS uuid, CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(o_custkey AS VARCHAR) END AS project_id,
+SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS uuid, '2024-01-01 00:00:00' AS created_at,
+       CAST(o_orderkey AS VARCHAR) AS request_run, CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(o_custkey AS VARCHAR) END AS project_id,
        CAST(o_orderkey AS VARCHAR) AS training_run_id, 'pending' AS status FROM orders""")
 def pending_jobs(spark, sf):
     now = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     jobs = jobs_from_requests(_requests(spark, sf), now, F.col("o_orderkey").cast("string"))
-    return jobs.select("uuid", "project_id", "training_run_id", "status")
+    run = F.get_json_object("training_request", "$.data.request_data.training_run_id").alias("request_run")
+    return jobs.select("uuid", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), run, "project_id", "training_run_id", "status")
 
 
 @query("""
@@ -418,7 +425,116 @@ def request_files(spark, sf):
     )
 
 
-@query()
+def _landed(customers: DataFrame, name: str) -> DataFrame:
+    """Customers written as text, a folder for each segment and a file for each nation in it, and listed."""
+    root = shared_dir(customers.sparkSession, name)
+    folder = F.concat("c_mktsegment", F.lit(" + 100%")).alias("segment")
+    text = F.concat(F.lit("{"), "c_custkey", F.lit("}")).alias("value")
+    customers.select(folder, F.col("c_nationkey").alias("nation"), text).write.partitionBy("segment", "nation").text(root)
+    listed = list_objects(customers.sparkSession, root)
+    # A nation's customers may be in several files, of names that Spark makes up.
+    return listed.groupBy(F.regexp_extract("name", "^(.*)/[^/]*$", 1).alias("name")).agg(F.sum("size").alias("size"))
+
+
+_LANDED_SQL = """SELECT 'segment=' || c_mktsegment || ' + 100%25/nation=' || c_nationkey AS name,
+                        sum(length(CAST(c_custkey AS VARCHAR)) + 3)::BIGINT AS size FROM customer"""
+
+
+@query(f"{_LANDED_SQL} GROUP BY 1")
 def listed_objects(spark, sf):
-    """The table files themselves, by name and size."""
-    return list_objects(spark, sf).select("name", "size")
+    """Files with blanks, plus and percent signs in their names, by folder."""
+    return _landed(table(spark, sf, "customer"), "objects")
+
+
+@query(f"""{_LANDED_SQL} GROUP BY 1 EXCEPT {_LANDED_SQL} WHERE c_acctbal >= 0 OR c_nationkey < 5 GROUP BY 1""")
+def synced_objects(spark, sf):
+    """What a copy lacks that has the customers of some nations and those in credit only."""
+    customers = table(spark, sf, "customer")
+    copied = customers.where("c_acctbal >= 0 OR c_nationkey < 5")
+    return missing_objects(_landed(customers, "objects"), _landed(copied, "copied"))
+
+
+@query("""
+SELECT p_partkey AS position, CASE WHEN lower(p_name) LIKE '%ring%' AND p_brand = 'Brand#2' THEN 'ARM' ELSE 'x86' END AS arch
+FROM part""")
+def part_architectures(spark, sf):
+    return _catalog(spark, sf).select("position", gpu_arch(F.col("name")).alias("arch"))
+
+
+@query("""
+SELECT place, o_orderkey, o_totalprice FROM (
+  SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) AS place,
+         row_number() OVER (ORDER BY o_orderkey DESC) AS back FROM orders) WHERE place <= 5 OR back = 1""")
+def head_and_cell(spark, sf):
+    """The first five orders and the last one, with their places."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    head = orders.orderBy("o_orderkey").limit(5).withColumn("place", F.row_number().over(Window.orderBy("o_orderkey")).cast("long"))
+    last = orders.orderBy(F.desc("o_orderkey")).limit(1).crossJoin(F.broadcast(orders.agg(F.count(F.lit(1)).alias("place"))))
+    return head.unionByName(last).distinct()
+
+
+def _stored_orders(spark: SparkSession, sf: str) -> str:
+    """Orders as a table of the catalog, partitioned by priority."""
+    name = f"orders_{uuid.uuid4().hex}"
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders.write.format("parquet").partitionBy("o_orderpriority").saveAsTable(name)
+    return name
+
+
+def _read_and_drop(spark: SparkSession, name: str) -> DataFrame:
+    rows = stored(spark.table(name), "read")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' AND o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+       o_totalprice, o_orderpriority FROM orders""")
+def stored_update(spark, sf):
+    """Rows of one partition updated in place."""
+    name = _stored_orders(spark, sf)
+    dear = table(spark, sf, "orders").where("o_orderpriority = '2-HIGH' AND o_totalprice > 200000")
+    changes = stored(dear.select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(1).alias("seq")), "changes")
+    change_table(spark, name, "o_orderpriority", changes, ["o_orderkey"], lambda rows: update_rows(rows, changes, ["o_orderkey"], "seq"))
+    return _read_and_drop(spark, name)
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN '9-LAST' ELSE o_orderpriority END AS o_orderpriority
+FROM orders UNION ALL SELECT -o_orderkey, 'N', o_totalprice, '0-NEW' FROM orders WHERE o_orderstatus = 'F'""")
+def stored_upsert(spark, sf):
+    """Rows moved to a new partition, and others added in one more."""
+    name, orders = _stored_orders(spark, sf), table(spark, sf, "orders")
+    moved = orders.where("o_orderstatus = 'P'").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice", "'9-LAST' AS o_orderpriority", "1 AS seq")
+    new = orders.where("o_orderstatus = 'F'").selectExpr("-o_orderkey AS o_orderkey", "'N' AS o_orderstatus", "o_totalprice", "'0-NEW' AS o_orderpriority", "1 AS seq")
+    changes = stored(moved.union(new), "changes")
+    change_table(spark, name, "o_orderpriority", changes, ["o_orderkey"], lambda rows: upsert(rows, changes, ["o_orderkey"], "seq"))
+    return _read_and_drop(spark, name)
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders
+          WHERE o_orderpriority <> '1-URGENT' AND NOT (o_orderpriority = '5-LOW' AND o_totalprice < 100000)""")
+def stored_delete(spark, sf):
+    """Rows deleted, among them all of a partition."""
+    name = _stored_orders(spark, sf)
+    gone = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' OR o_orderpriority = '5-LOW' AND o_totalprice < 100000")
+    keys = stored(gone.select("o_orderkey"), "keys")
+    change_table(spark, name, "o_orderpriority", keys, ["o_orderkey"], lambda rows: delete_rows(rows, keys, ["o_orderkey"]))
+    return _read_and_drop(spark, name)
+
+
+@query("SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS uuid, 'pending' AS status, (SELECT count(*) FROM orders) AS appended, 4 AS tables FROM orders")
+def entity_tables(spark, sf):
+    """The entity tables created in a database of their own, jobs appended, read back and dropped."""
+    database = f"runs_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    tables = len(create_tables(spark, database))
+    now = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
+    jobs = jobs_from_requests(_requests(spark, sf), now, F.col("o_orderkey").cast("string"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["training_job"] if f.name not in jobs.columns]
+    appended = append(jobs.select("*", *empty), f"{database}.training_job")
+    rows = stored(spark.table(f"{database}.training_job").select("uuid", "status"), "read")
+    drop_tables(spark, database)
+    left = list_tables(spark, database)
+    spark.sql(f"DROP DATABASE {database}")
+    return rows.select("uuid", "status", F.lit(appended).cast("long").alias("appended"), F.lit(tables - len(left)).alias("tables"))
