@@ -45,8 +45,8 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, name: str) ->
     )
 
 
-#: Rows of numbers that a broadcast may hold: some 100 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: Rows of numbers that a broadcast may hold: some 50 MB at most.
+BROADCAST_ROWS = 500_000
 
 
 def counted_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

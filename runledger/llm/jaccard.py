@@ -11,10 +11,12 @@ publish, is skipped by all of them, and each set keeps account: as long as the s
 difference, none of its links can be lost. Sets whose account falls short publish again, among
 themselves, subsets and all their one-deletion neighbours. A segment then bears one difference more, if
 what it publishes is rare, which is the cheaper the rarer. The few sets that even then fall short, mostly
-members of large groups of near copies, publish every subset without a limit.
+members of large groups of near copies, use segments so fine that each holds one n-gram. Of these a link
+spoils no more than a quarter, so it is enough that each set looks up the rarest of its own, one more than
+that: edits of a text are rare, and copies that have drifted too far apart no longer meet.
 
-Sets that meet are verified exactly. Only one link of each set, to the set that it meets most often, is
-looked at first; sets that are in one component then need no further look. All pairs that meet and are
+Sets that meet are verified exactly. Only one link of each set is looked at first, to its smallest partner or
+to the most central set that it meets; sets that are in one component then need no further look. All pairs that meet and are
 in different components are verified after that, so no link that joins components is lost.
 """
 
@@ -26,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.bpe import slices
@@ -109,12 +111,12 @@ def bare(x: np.ndarray) -> np.ndarray:
 class Publisher:
     """Collects what sets publish: signs, hashes of a subset in its segment, with the set's key.
 
-    With ``deletions`` also those of a subset without one member; with ``everything`` also those of empty
-    segments, if a set has too few others. A sign's place is its segment, with a low bit for subsets of one.
+    With ``deletions`` also those of a subset without one member. A sign's place is its segment, with a low
+    bit for subsets of one.
     """
 
-    def __init__(self, deletions: bool = False, everything: bool = False) -> None:
-        self.deletions, self.everything = deletions, everything
+    def __init__(self, deletions: bool = False) -> None:
+        self.deletions = deletions
         self.signs, self.keys, self.places, self.accounts = [], [], [], []
 
     def add(self, key: int, found: np.ndarray) -> None:
@@ -139,11 +141,6 @@ class Publisher:
         sums, spot = np.add.reduceat(value, starts), mix(used.view(U) + other)
         signs, keys, places = [mix(sums + spot)], [key] * len(used), [used * 2 + (size == 1)]
         balance = len(used) - difference - 1
-        if self.everything and balance < 0:
-            vacant = np.setdiff1d(np.arange(m), used)
-            signs.append(mix(mix(vacant.view(U) + other)))
-            keys += [key] * len(vacant)
-            places.append(vacant * 2)
         if self.deletions:
             several = np.repeat(size > 1, size)
             at = np.repeat(np.arange(len(used)), size)[several]
@@ -167,7 +164,7 @@ class Publisher:
         owners = np.array([key for key, _ in self.accounts], np.int64)
         balances = np.array([balance for _, balance in self.accounts], np.int64)
         marks = empty[0]
-        if limit and len(signs):
+        if len(signs):
             _, back, count = np.unique(signs, return_inverse=True, return_counts=True)
             often = count[back] > limit
             if often.any():
@@ -197,18 +194,17 @@ def lost_of(owner: np.ndarray, keys: np.ndarray, places: np.ndarray, deletions:
     return each, np.bincount(back, cost[last], len(each)).astype(np.int64)
 
 
-MET = "kind byte, sign long, key long, other long, n int"
-BUCKET, PAIR, BALANCE, LOST = 0, 1, 2, 3
+MET = "kind byte, key long, other long, n int"
+PAIR, BALANCE, LOST = 0, 1, 2
 
 
 def meet(published: DataFrame, limit: int, deletions: bool = False) -> DataFrame:
     """Who meets where, as rows of a ``kind``.
 
-    ``BALANCE`` and ``LOST`` tell of a ``key`` what its account holds and what skipped signs cost it. With a
-    limit, ``PAIR`` rows have the two keys that share a sign, as many as the limit for each row at most;
-    without one, ``BUCKET`` rows have ``sign``, ``key`` and the smallest set in the bucket as ``other``.
-    Signs are dealt out by themselves. None brings more rows than the limit times the tasks that published
-    it, however frequent it is; where there is no limit, a row is but three numbers.
+    ``BALANCE`` and ``LOST`` tell of a ``key`` what its account holds and what skipped signs cost it. ``PAIR``
+    rows have the two keys that share a sign, as many as the limit for each row at most. Signs are dealt
+    out by themselves; none brings more rows than the limit times the tasks that published it, however
+    frequent it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,15 +230,10 @@ def meet(published: DataFrame, limit: int, deletions: bool = False) -> DataFrame
         starts = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
         size = np.diff(np.append(starts, len(sign)))
         marked = np.logical_or.reduceat(key == MARK, starts)
-        skipped = np.repeat((marked | (size > limit)) if limit else np.zeros(len(size), bool), size)
+        skipped = np.repeat(marked | (size > limit), size)
         gone = skipped & (key != MARK)
-        for owner, lost in [lost_of(key[gone] & ~np.int64(DELETED), key[gone], place[gone], deletions)]:
-            yield met(LOST, owner, n=lost)
-        if not limit:
-            least = np.repeat(np.minimum.reduceat(bare(key), starts), size)
-            several = np.repeat(size > 1, size)
-            yield met(BUCKET, key[several], sign[several], least[several])
-            return
+        owner, lost = lost_of(key[gone] & ~np.int64(DELETED), key[gone], place[gone], deletions)
+        yield met(LOST, owner, n=lost)
         sign, key = sign[~skipped], key[~skipped]
         for apart in range(1, limit):
             at = np.flatnonzero(sign[apart:] == sign[:-apart])
@@ -253,13 +244,10 @@ def meet(published: DataFrame, limit: int, deletions: bool = False) -> DataFrame
             proper = (one & two & (LARGER | DELETED) == 0) & (bare(one) != bare(two))
             yield met(PAIR, one[proper] & ~np.int64(DELETED), other=two[proper] & ~np.int64(DELETED))
 
-    def met(kind: int, key, sign=None, other=None, n=None) -> pa.RecordBatch:
+    def met(kind: int, key, other=None, n=None) -> pa.RecordBatch:
         zero = np.zeros(len(key), np.int64)
-        columns = [
-            np.full(len(key), kind, np.int8), *[zero if x is None else x for x in (sign, key, other)],
-            (zero if n is None else n).astype(np.int32),
-        ]
-        return pa.record_batch(list(map(pa.array, columns)), ["kind", "sign", "key", "other", "n"])
+        columns = [np.full(len(key), kind, np.int8), key, zero if other is None else other, (zero if n is None else n).astype(np.int32)]
+        return pa.record_batch(list(map(pa.array, columns)), ["kind", "key", "other", "n"])
 
     return stored(published.repartition("sign").mapInArrow(run, MET), "meetings")
 
@@ -281,17 +269,16 @@ def short_of(balances: DataFrame) -> DataFrame:
     return stored(balances.where("balance < 0").select(node("key").alias("node")).distinct(), "short")
 
 
-def likely(counted: DataFrame, balances: DataFrame, all_met: bool) -> DataFrame:
+def likely(counted: DataFrame, balances: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of ``key, other, n`` that meet often enough for a link.
 
     A link differs in fewer segments than either account allows for, so it is met more often than the larger
-    balance says. Unless all that links is met, two sets that both fall short are left to what they publish again.
+    balance says. Two sets that both fall short are left to what they publish again.
     """
     more = F.greatest("_one", "_two")
     ones = balances.select("key", F.col("balance").alias("_one"))
     twos = balances.select(F.col("key").alias("other"), F.col("balance").alias("_two"))
-    enough = counted.join(ones, "key").join(twos, "other").where((F.col("n") > more) & (F.lit(all_met) | (more >= 0)))
-    return pair_of(enough)
+    return pair_of(counted.join(ones, "key").join(twos, "other").where((F.col("n") > more) & (more >= 0)))
 
 
 def pair_of(rows: DataFrame) -> DataFrame:
@@ -335,19 +322,44 @@ def publish_texts(docs: DataFrame, limit: int) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, PUBLISHED)
 
 
-def publish_sets(sets: DataFrame, limit: int, deletions: bool) -> DataFrame:
-    """What stored sets publish again: with deletions, or everything."""
+def publish_again(sets: DataFrame, limit: int) -> DataFrame:
+    """What stored sets publish with one-deletion neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = Publisher(deletions, everything=not deletions)
-            for node, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.add(node, np.frombuffer(found, U))
+            out = Publisher(deletions=True)
+            for node_, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out.add(node_, np.frombuffer(found, U))
             yield out.rows(limit)
 
     return sets.select("node", "found").mapInArrow(run, PUBLISHED)
 
 
+def rarest(sets: DataFrame) -> DataFrame:
+    """``sign, node, size, place, central``: the rarest n-grams of each set that another has, too, with their rank.
+
+    Linked sets share three quarters of either at least. The rarest n-gram that they share is therefore among
+    the rarest quarter of each, and one more. A set is the more central the more sets have its n-grams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            parts = [np.frombuffer(found, U).view(np.int64) for found in batch.column(1).to_pylist()]
+            sizes = np.array(list(map(len, parts)), np.int64)
+            columns = [np.concatenate(parts or [sizes]), np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes).astype(np.int32)]
+            yield pa.record_batch(list(map(pa.array, columns)), ["sign", "node", "size"])
+
+    every = stored(sets.select("node", "found").mapInArrow(run, "sign long, node long, size int"), "grams")
+    often = every.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = Window.partitionBy("node")
+    ranked = every.join(often, "sign").select(
+        "sign", "node", "size", F.sum("n").over(own).alias("central"),
+        # Those that no other set has come first.
+        (F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "sign"))).alias("place"),
+    )
+    return stored(ranked.where("place <= floor(size / 4) + 1"), "rarest")
+
+
 def written_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``node, size, found``: the sets of the documents with these ids, as sorted 64-bit numbers."""
 
@@ -418,38 +430,42 @@ def link_groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     met = meet(publish_texts(known, limit), limit)
     balances = accounts(met)
     counted = met.where(F.col("kind") == PAIR).groupBy("key", "other").agg(F.count(F.lit(1)).alias("n"))
-    pairs = stored(likely(counted, balances, False), "pairs")
+    pairs = stored(likely(counted, balances), "pairs")
     short = short_of(balances)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(short).distinct()
     sets = written_sets(known, stored(ids.join(needed, "node").select("doc_id"), "needed"))
 
-    again = meet(publish_sets(sets.join(counted_side(short), "node", "left_semi"), limit, True), limit, True)
+    again = meet(publish_again(sets.join(counted_side(short), "node", "left_semi"), limit), limit, True)
     pairs = pairs.union(pair_of(again.where(F.col("kind") == PAIR)))
     short = short_of(accounts(again))
-    last = meet(publish_sets(sets.join(counted_side(short), "node", "left_semi"), 0, False), 0)
-    buckets = last.where(F.col("kind") == BUCKET)
+    rare = rarest(sets.join(counted_side(short), "node", "left_semi"))
 
-    # One link for each set first: to its smallest partner, or to the set that it meets most often.
-    stars = buckets.select(node("key").alias("b"), F.col("other").alias("a")).where("a <> b").groupBy("a", "b").count()
-    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    # One link of each set first: to its smallest partner, and to the central set that it meets most often.
+    hubs = rare.groupBy("sign").agg(F.max(F.struct("central", "node"))["node"].alias("a"))
+    stars = rare.join(hubs, "sign").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    stars = stars.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a"))
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).union(stars).select("a", "b").distinct()
     links = verified(first, sets)
     groups = stored(connected(links), "groups")
 
     # Then what meets across the components so far.
     def placed(rows: DataFrame, by: str, name: str) -> DataFrame:
-        parts = groups.select(F.col("node").alias(f"_{name}"), F.col("component").alias(name))
-        joined = rows.withColumn(f"_{name}", node(by)).join(parts, f"_{name}", "left")
-        return joined.withColumn(name, F.coalesce(name, f"_{name}")).drop(f"_{name}")
+        parts = groups.select(F.col("node").alias(by), F.col("component").alias(name))
+        return rows.join(parts, by, "left").withColumn(name, F.coalesce(name, by))
 
     across = placed(placed(pairs, "a", "one"), "b", "two").where("one <> two").select("a", "b")
-    own = placed(buckets.select("sign", "key"), "key", "component")
+    own = placed(rare.drop("central"), "node", "component")
     mixed = own.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     own = stored(own.join(mixed.select("sign"), "sign", "left_semi"), "mixed")
-    partner = own.select("sign", F.col("key").alias("other"), F.col("component").alias("_other"))
-    met_there = own.join(partner, "sign").where("key < other AND component <> _other")
-    counted = met_there.groupBy("key", "other").agg(F.count(F.lit(1)).alias("n"))
-    across = across.union(likely(counted, accounts(last), True)).distinct()
+    partner = own.select(
+        "sign", F.col("node").alias("b"), F.col("size").alias("_size"), F.col("place").alias("_place"), F.col("component").alias("_other")
+    )
+    # Links share 3 / 7 of both sizes, so 6 / 7 of the smaller set, and at the rarest shared n-gram that many are left.
+    met_there = own.where("place <= floor(size / 7) + 1").join(partner, "sign").where(
+        "(size < _size OR size = _size AND node < b) AND component <> _other"
+        " AND 7 * (least(size - place, _size - _place) + 1) >= 3 * (size + _size)"
+    ).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    across = across.union(met_there).distinct()
     groups = stored(connected(links.union(verified(across, sets))), "groups")
 
     placed_members = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
