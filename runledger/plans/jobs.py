@@ -68,9 +68,17 @@ def apply_transitions(jobs: DataFrame, transitions: DataFrame, max_rows: int = M
     return changed.withColumn("job_metadata", noted).drop("_status", "_started", "_completed", "_error")
 
 
-def job_outcomes(spans: DataFrame) -> DataFrame:
-    """Success signal per job: its project has ended."""
+def job_outcomes(spans: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """One row per job: success where its project has ended, else the message of its failure.
+
+    ``failures`` has ``job_uuid`` and ``message`` of every job that is over, as ``classify_failure`` gives
+    them; without it only successes are told.
+    """
     done = spans.where((F.col("phase") == "PROJECT") & F.col("completed_at").isNotNull())
-    return done.groupBy("job_uuid").agg(F.max("completed_at").alias("completed_at")).select(
-        "job_uuid", "completed_at", F.lit(True).alias("success"), F.lit(None).cast("string").alias("message")
+    done = done.groupBy("job_uuid").agg(F.max("completed_at").alias("completed_at"))
+    if failures is None:
+        return done.select("job_uuid", "completed_at", F.lit(True).alias("success"), F.lit(None).cast("string").alias("message"))
+    success = F.col("completed_at").isNotNull()
+    return done.join(failures.select("job_uuid", "message"), "job_uuid", "full").select(
+        "job_uuid", "completed_at", success.alias("success"), F.when(~success, F.col("message")).alias("message")
     )

@@ -9,7 +9,7 @@ from runledger.operators.best import (
     best_overall, eval_slots, iteration_metrics, job_metrics, update_iterations, update_jobs,
 )
 from runledger.operators.chunks import MAX_ROWS, add_chunks
-from runledger.operators.quality import parse_quality
+from runledger.operators.quality import classify_failure, parse_quality
 from runledger.operators.spans import build_all, build_spans, iterations_of, rejected_starts, track
 from runledger.plans.jobs import job_outcomes
 from runledger.plans.reports import accuracy_report, eval_file_paths, iteration_metadata, job_status, job_time
@@ -223,12 +223,24 @@ def log_orphans(spark, sf):
     return orphans.groupBy("phase", "event", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_SPANS_SQL + """
-SELECT job AS job_uuid, strftime(max(end_ts), '%Y-%m-%d %H:%M:%S') AS completed_at, true AS success
-FROM spans WHERE phase = 'PROJECT' AND end_ts IS NOT NULL GROUP BY 1""")
+@query(_SPANS_SQL + """, done AS (
+  SELECT job, max(end_ts) AS end_ts FROM spans WHERE phase = 'PROJECT' AND end_ts IS NOT NULL GROUP BY 1),
+last AS (
+  SELECT CAST(user_id AS VARCHAR) AS job, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n
+  FROM events),
+found AS (SELECT job, bool_or(event_type = 'error') AS bad FROM last WHERE n <= 50 GROUP BY 1)
+SELECT f.job AS job_uuid, strftime(d.end_ts, '%Y-%m-%d %H:%M:%S') AS completed_at, d.job IS NOT NULL AS success,
+       CASE WHEN d.job IS NOT NULL THEN NULL WHEN bad THEN 'Training script failed - check logs for details'
+            ELSE 'Training script stopped unexpectedly' END AS message
+FROM found f LEFT JOIN done d ON d.job = f.job""")
 def log_outcomes(spark, sf):
-    outcomes = job_outcomes(build_spans(_log_events(spark, sf), max_rows=None))
-    return outcomes.select("job_uuid", _stamp("completed_at"), "success")
+    """Every job's outcome; the script's own log says Error where an event is one."""
+    script = F.when(F.col("event_type") == "error", "Error: see above").otherwise("step done").alias("line")
+    lines = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_uuid"), F.col("event_id").alias("seq"), "event_type")
+    lines = lines.select("job_uuid", "seq", script)
+    failures = classify_failure(lines.select("job_uuid").distinct(), lines, "job_uuid", "seq", "line")
+    outcomes = job_outcomes(build_spans(_log_events(spark, sf), max_rows=None), failures)
+    return outcomes.select("job_uuid", _stamp("completed_at"), "success", "message")
 
 
 @query(_ITERATIONS_SQL)
