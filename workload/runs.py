@@ -270,22 +270,25 @@ def _broken_log(spark: SparkSession, sf: str) -> DataFrame:
     return run_log(spark, sf).select("job_uuid", "seq", line.alias("line"))
 
 
-@query("""
-WITH r AS (SELECT CAST(user_id AS VARCHAR) AS job_uuid, event_type = 'error' AND value > 100 AS bad,
-                  event_type = 'error' AND value < 5 AS blank,
-                  CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 IN (0) AS project FROM events)
+_SOUND_SPANS_SQL = _SPANS_SQL.replace("FROM events)", "FROM events WHERE NOT (event_type = 'error' AND (value > 100 OR value < 5)))", 1)
+
+
+@query(_SOUND_SPANS_SQL + """, counted AS (
+  SELECT job, count(*) AS n FROM spans WHERE phase = 'ITERATION' AND number IS NOT NULL GROUP BY 1),
+r AS (SELECT CAST(user_id AS VARCHAR) AS job_uuid, event_type = 'error' AND value > 100 AS bad,
+             event_type = 'error' AND value < 5 AS blank FROM events)
 SELECT job_uuid, count(*) AS total_lines, count(*) FILTER (WHERE NOT bad AND NOT blank) AS parsed_lines,
-       count(*) FILTER (WHERE bad) AS failed_lines, count(*) FILTER (WHERE project AND NOT bad AND NOT blank) AS projects,
-       count(*) FILTER (WHERE bad) = 0 AND count(*) FILTER (WHERE NOT bad AND NOT blank) > 0
-         AND count(*) FILTER (WHERE project AND NOT bad AND NOT blank) > 0 AS passed
-FROM r GROUP BY 1""")
+       count(*) FILTER (WHERE bad) AS failed_lines, coalesce(max(n), 0) AS iterations,
+       count(*) FILTER (WHERE bad) = 0 AND count(*) FILTER (WHERE NOT bad AND NOT blank) > 0 AND coalesce(max(n), 0) > 0 AS passed
+FROM r LEFT JOIN counted ON job = job_uuid GROUP BY 1""")
 def log_parse_quality(spark, sf):
+    """Lines parsed and failed, and the iterations found; the lines are parsed once."""
     lines = _broken_log(spark, sf)
-    decoded = decode_lines(lines)
+    decoded = stored(decode_lines(lines), "decoded")
     blank = lines.groupBy("job_uuid").agg(F.count_if(F.trim("line") == "").alias("blank"))
-    projects = decoded.where("phase = 'PROJECT' AND event = 'start'")
-    quality = parse_quality(decoded, blank, projects, ["job_uuid"])
-    return quality.withColumnRenamed("iterations", "projects")
+    events = decoded.where(F.col("reason").isNull()).drop("line", "reason")
+    steps = iterations_of(build_spans(events)).where("step_type = 'iteration'")
+    return parse_quality(decoded, blank, steps.select(F.col("training_job_uuid").alias("job_uuid")), ["job_uuid"])
 
 
 @query("""
