@@ -27,93 +27,88 @@ RARE, COMMON = 2000, 8
 #: A subset holds a term with probability 1 / 2 ** n; the first is the whole lexicon.
 SUBSETS = (0, 2, 4, *[5, 6] * 3, *[7, 8] * 5, *[9, 10] * 8)
 #: Hexadecimal digits of the fingerprint for each subset.
-DIGITS = 6
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Chunks or terms that a Python worker holds; it hands over or forgets what it has beyond.
+DIGITS = 4
+#: Terms that a Python worker counts before it hands them over.
 HELD = 500_000
 EMPTY = "-" * DIGITS
+#: ASCII letters and digits stay, in lower case, and so does all beyond ASCII; the rest parts terms.
+FOLD = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 
 
-def term(chunk: str) -> int:
-    """Hash of a chunk's term: lower case, no punctuation around; 0 if nothing is left."""
-    word = chunk.lower().strip(PUNCTUATION)
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63) if word else 0
+def terms_of(text: str) -> set[bytes]:
+    return set(text.encode().translate(FOLD).split())
 
 
-class Terms(dict):
-    """Term by chunk, worked out once."""
+def document_frequencies(docs: DataFrame, rare: int) -> DataFrame:
+    """``term, n, word``: the number of documents that have each term, by its hash, and the term if it may be kept.
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = found = term(chunk)
-        return found
-
-    def of(self, text: str) -> set[int]:
-        if len(self) > HELD:
-            self.clear()
-        found = set(map(self.__getitem__, set(text.split())))
-        found.discard(0)
-        return found
-
-
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """``term, n``: the number of documents that have each term, by its hash."""
+    A term that one document in ``rare`` has is that frequent in some task, too. Only there it is spelt out;
+    the many others are shuffled as numbers.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts = Terms(), Counter()
+        counts, texts = Counter(), 0
 
         def handed_over() -> Iterator[pa.RecordBatch]:
-            found, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
-            counts.clear()
+            found = list(counts.items())
             for low in range(0, len(found), 50_000):
-                yield pa.record_batch([pa.array(found[low : low + 50_000]), pa.array(n[low : low + 50_000])], ["term", "n"])
+                some = found[low : low + 50_000]
+                columns = [
+                    pa.array([xxhash.xxh3_64_intdigest(word) - (1 << 63) for word, _ in some], pa.int64()),
+                    pa.array([n for _, n in some], pa.int64()),
+                    pa.array([word if n * rare >= texts else None for word, n in some], pa.binary()),
+                ]
+                yield pa.record_batch(columns, ["term", "n", "word"])
+            counts.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(terms.of(text))
+                counts.update(terms_of(text))
+                texts += 1
                 if len(counts) > HELD:
                     yield from handed_over()
+                    texts = 0
         yield from handed_over()
 
-    parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "term long, n long")
-    return parts.groupBy("term").agg(F.sum("n").alias("n"))
+    parts = docs.select(text_or_empty().alias("text")).mapInArrow(count, "term long, n long, word binary")
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.max("word").alias("word"))
 
 
-def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> np.ndarray:
-    """Sorted hashes of the terms in the band; all documents count.
+def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> list[bytes]:
+    """The terms in the band, in order; all documents count.
 
     Each document adds its distinct terms to the sum of frequencies, and a kept term takes up 1 / ``rare``
     of the documents, so the lexicon has at most ``rare`` times the mean number of distinct terms of a
     document, however many documents there are. A term of one document only is never kept.
     """
     total = docs.count()
-    kept = document_frequencies(docs).where(
+    kept = document_frequencies(docs, rare).where(
         (F.col("n") * rare >= total) & (F.col("n") >= 2) & (F.col("n") * common <= total)
     )
-    return np.sort(np.array([row.term for row in kept.select("term").collect()], np.int64))
+    return sorted(bytes(row.word) for row in kept.select("word").collect())
 
 
 class Fingerprinter:
-    def __init__(self, terms: np.ndarray) -> None:
-        self.terms = terms
-        self.place = dict(zip(terms.tolist(), range(len(terms))))
-        self.known = Terms()
+    def __init__(self, words: list[bytes]) -> None:
+        self.words, self.place = frozenset(words), dict(zip(words, range(len(words))))
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(word) for word in words], np.uint64)
         subsets = np.arange(len(SUBSETS), dtype=np.uint64)
-        mixed = terms.astype(np.uint64)[:, None] ^ (subsets * np.uint64(0x9E3779B97F4A7C15))
+        mixed = self.hashes[:, None] ^ (subsets * np.uint64(0x9E3779B97F4A7C15))
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
         mixed ^= mixed >> np.uint64(31)
         self.member = (mixed & ((np.uint64(1) << np.array(SUBSETS, np.uint64)) - np.uint64(1))) == 0
 
     def __call__(self, text: str) -> str:
-        terms = self.known.of(text)
-        places = sorted(p for p in map(self.place.get, terms) if p is not None)
-        if not places:
-            return "=" + xxhash.xxh3_64_hexdigest(np.sort(np.fromiter(terms, np.int64, len(terms))).tobytes())
-        hashes, member = self.terms[places], self.member[places]
+        found = terms_of(text)
+        kept = found & self.words
+        if not kept:
+            return "=" + xxhash.xxh3_64_hexdigest(b" ".join(sorted(found)))
+        places = np.sort(np.fromiter(map(self.place.__getitem__, kept), np.int64, len(kept)))
+        hashes, member = self.hashes[places], self.member[places].T
         parts = []
-        for held in member.T:
-            chosen = hashes[held]
-            parts.append(xxhash.xxh3_64_hexdigest(chosen.tobytes())[:DIGITS] if len(chosen) else EMPTY)
+        for held, some in zip(member, member.any(axis=1).tolist()):
+            parts.append(xxhash.xxh3_64_hexdigest(hashes[held].tobytes())[:DIGITS] if some else EMPTY)
         return "".join(parts)
 
 
