@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.bpe import slices
+from runledger.llm.common import counted_side
+from runledger.session import stored
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Texts of each language that its model is fitted on, at most, and the rounds of fitting.
@@ -30,7 +32,7 @@ PART, LONGEST = 32, 16
 #: Count that each piece has beforehand, and the probability of a character that no piece has.
 PRIOR, UNSEEN = 0.02, 1e-7
 #: Words that a Python worker remembers, and how many are worked out together.
-HELD, TOGETHER = 400_000, 20_000
+HELD, TOGETHER = 700_000, 20_000
 UNKNOWN = "und"
 #: Score under which a text is rejected as a mixture or as none of the languages.
 LEAST = 0.5
@@ -149,8 +151,8 @@ def learn(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> dict
     order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
     chosen = open_.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash"))
     chosen = chosen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    texts = open_.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
+    chosen = stored(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct(), "sample")
+    texts = open_.join(counted_side(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")), "left_semi")
 
     def fit_one(rows: pd.DataFrame) -> pd.DataFrame:
         words = Counter(word for text in rows["text"] for word in map(word_of, text.split()) if word)
@@ -176,9 +178,9 @@ class Identifier:
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if self.held > HELD:
             self.forget()
-        new = sorted(set().union(*[t.split() for t in texts if t]).difference(self.place))
+        new = list(set().union(*[t.split() for t in texts if t]).difference(self.place))
         words = list(map(word_of, new))
-        some = sorted({w for w in words if w})
+        some = list({w for w in words if w})
         self.logs.append(log_chances(some, self.pieces, self.chances))
         of_word = dict(zip(some, range(self.held, self.held + len(some)))) | {"": 0}
         self.place.update(zip(new, map(of_word.__getitem__, words)))
@@ -197,6 +199,17 @@ class Identifier:
         return self.languages[best], float(chances[best] / chances.sum())
 
 
+#: The identifier of a Python worker, for the models that it was last asked for.
+KEPT: list[tuple[dict, Identifier]] = []
+
+
+def identifier(models: dict[str, np.ndarray], path: str) -> Identifier:
+    """Words that an earlier task of this worker has met need not be worked out again."""
+    if not KEPT or KEPT[0][0] is not models:
+        KEPT[:] = [(models, Identifier(models, path))]
+    return KEPT[0][1]
+
+
 def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose language :func:`identify` tells with a score of at least ``least``, all columns as they are.
 
@@ -206,7 +219,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULAR
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Identifier(models.value, path)
+        judge = identifier(models.value, path)
         for batch in slices(batches, 1500):
             found = judge(batch.column(place).to_pylist())
             yield batch.filter(pa.array([language != UNKNOWN and score >= least for language, score in found], pa.bool_()))
@@ -225,7 +238,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> D
     models = docs.sparkSession.sparkContext.broadcast(learn(docs, path, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Identifier(models.value, path)
+        judge = identifier(models.value, path)
         for batch in slices(batches, 1500):
             found = judge(batch.column(2).to_pylist())
             languages, scores = zip(*found) if found else ((), ())
