@@ -501,12 +501,12 @@ def stored_update(spark, sf):
 
 @query("""
 SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orderstatus = 'P' THEN '9-LAST' ELSE o_orderpriority END AS o_orderpriority
-FROM orders UNION ALL SELECT -o_orderkey, 'N', o_totalprice, '0-NEW' FROM orders WHERE o_orderstatus = 'F'""")
+FROM orders UNION ALL SELECT -o_orderkey - 1, 'N', o_totalprice, '0-NEW' FROM orders WHERE o_orderstatus = 'F'""")
 def stored_upsert(spark, sf):
     """Rows moved to a new partition, and others added in one more."""
     name, orders = _stored_orders(spark, sf), table(spark, sf, "orders")
     moved = orders.where("o_orderstatus = 'P'").selectExpr("o_orderkey", "o_orderstatus", "o_totalprice", "'9-LAST' AS o_orderpriority", "1 AS seq")
-    new = orders.where("o_orderstatus = 'F'").selectExpr("-o_orderkey AS o_orderkey", "'N' AS o_orderstatus", "o_totalprice", "'0-NEW' AS o_orderpriority", "1 AS seq")
+    new = orders.where("o_orderstatus = 'F'").selectExpr("-o_orderkey - 1 AS o_orderkey", "'N' AS o_orderstatus", "o_totalprice", "'0-NEW' AS o_orderpriority", "1 AS seq")
     changes = stored(moved.union(new), "changes")
     change_table(spark, name, "o_orderpriority", changes, ["o_orderkey"], lambda rows: upsert(rows, changes, ["o_orderkey"], "seq"))
     return _read_and_drop(spark, name)
