@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,8 +155,8 @@ def compare_with_next(docs: DataFrame, rare: int = RARE, common: int = COMMON) -
     ``edited`` the edited text's SHA-256. The next document is that of the next smaller ``doc_id``, the
     first after the last; a null ``doc_id`` comes last, and rows alike in ``doc_id`` follow in any order.
 
-    Texts are dealt out once, in ranges of ``doc_id``. A task pairs its own neighbours; its last row
-    waits for the next task's first one, and these few rows, two for each task, are joined.
+    Texts are dealt out once, compressed, in ranges of ``doc_id``. A task pairs its own neighbours; its last
+    row waits for the next task's first one, and these few rows, two for each task, are joined.
     """
     terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, rare, common))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -168,8 +169,15 @@ def compare_with_next(docs: DataFrame, rare: int = RARE, common: int = COMMON) -
         print_ = own if changed == text else make(changed)
         return len(text), hashlib.sha256(changed.encode()).hexdigest(), own, print_, likeness(own, print_), likeness(own, other)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = [squeeze(text.encode()) for text in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, task = Fingerprinter(terms.value), TaskContext.get().partitionId()
+        unpack = zstandard.ZstdDecompressor().decompress
         last, ids, rows, ends = None, [], [], []
 
         def out(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -180,7 +188,8 @@ def compare_with_next(docs: DataFrame, rare: int = RARE, common: int = COMMON) -
 
         batch = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = unpack(packed).decode()
                 own = make(text)
                 if last is None:
                     ids.append(doc_id), ends.append(("first", text)), rows.append((None, None, own, None, None, None))
@@ -201,7 +210,8 @@ def compare_with_next(docs: DataFrame, rare: int = RARE, common: int = COMMON) -
             columns = zip(*rows) if rows else [[]] * 6
             yield pa.record_batch([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], ["doc_id", *names])
 
-    dealt = docs.select("doc_id", text_or_empty().alias("text"))
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    dealt = texts.mapInArrow(pack, f"doc_id {kind}, packed binary")
     last_first = F.col("doc_id").desc_nulls_last()
     dealt = dealt.repartitionByRange(shuffle_partitions(docs), last_first).sortWithinPartitions(last_first)
     paired = stored(dealt.mapInArrow(pair, f"doc_id {kind}, {made}, task int, role string, text string"), "neighbours")
