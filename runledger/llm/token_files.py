@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from runledger.llm import token_coder
 from runledger.llm.bpe import encode_texts, slices
 from runledger.llm.common import shuffle_partitions, text_or_empty
-from runledger.session import shared_dir
+from runledger.session import shared_dir, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Id after each document.
@@ -149,7 +149,8 @@ def read(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
     little-endian unsigned 32-bit numbers. Only documents of several blocks are put together in a shuffle,
     their parts in order.
     """
-    every = pieces(spark, folder, keep_ids)
+    # Read twice below, so decoded once and stored; the ids of whole documents are left out unless asked for.
+    every = stored(pieces(spark, folder, keep_ids), "pieces")
     table = spark.read.parquet(folder)
     last = table.select("file", (F.col("start") + F.aggregate("parts", F.lit(0).cast("long"), lambda t, p: t + p["n"])).alias("end"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
