@@ -35,7 +35,7 @@ LONG, FEW = 64, 200
 #: Chunks that a Python worker remembers; the memory starts anew beyond, which costs time only.
 REMEMBERED = 400_000
 #: Code points of a section of a text, and of the sections looked up together, about.
-SECTION, GROUP = 1 << 18, 1 << 22
+SECTION, GROUP = 1 << 18, 1 << 21
 
 Ranks = dict[bytes, int]
 
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000):
+        for batch in slices(batches, 2000):
             ids = encoder(path)(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
