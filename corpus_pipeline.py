@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` of each document: its ids, and the digest of what they decode to."""
-    both = bpe.decode(bpe.encode(docs))
+    both = bpe.encode_and_decode(docs)
     return both.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )

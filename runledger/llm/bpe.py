@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import text_or_empty
+from runledger.llm.common import kept, text_or_empty
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pre-tokens of more bytes are merged on their own; fewer of them in a batch, too.
@@ -296,12 +296,11 @@ def encode_texts(texts: list[str], known: dict[str, bytes], encode: Callable[[li
     return [b"".join(parts) for parts in out]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(("bpe", path), lambda: Encoder(path))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokens(path: str) -> list[bytes]:
     """The bytes of each id."""
     return [token for token, _ in sorted(encoder(path).ranks.items(), key=lambda x: x[1])]
@@ -345,3 +344,18 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", F.col("ids")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """``doc_id, ids, decoded``: :func:`encode` and :func:`decode` in one Python worker rather than two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        byte = tokens(path).__getitem__
+        for batch in slices(batches, 1000):
+            ids = encoder(path)(batch.column(1).to_pylist())
+            made = [b"".join(map(byte, np.frombuffer(x, "<u4").tolist())) for x in ids]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(made, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,3 +52,18 @@ BROADCAST_ROWS = 500_000
 def counted_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a stored table of a few numbers a row if a count allows it; beyond, Spark shuffles both sides."""
     return F.broadcast(df) if df.count() <= limit else df
+
+
+#: What :func:`kept` holds in a Python worker.
+KEPT: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """The one large object that a Python worker keeps from task to task; asking for another lets it go.
+
+    Workers outlive a stage, so what several operators remember would else add up.
+    """
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = make()
+    return KEPT[key]

@@ -17,11 +17,12 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.bpe import slices
-from runledger.llm.common import counted_side
+from runledger.llm.common import counted_side, kept
 from runledger.session import stored
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,7 +33,7 @@ PART, LONGEST = 32, 16
 #: Count that each piece has beforehand, and the probability of a character that no piece has.
 PRIOR, UNSEEN = 0.02, 1e-7
 #: Words that a Python worker remembers, and how many are worked out together.
-HELD, TOGETHER = 700_000, 20_000
+HELD, TOGETHER = 400_000, 20_000
 UNKNOWN = "und"
 #: Score under which a text is rejected as a mixture or as none of the languages.
 LEAST = 0.5
@@ -199,15 +200,10 @@ class Identifier:
         return self.languages[best], float(chances[best] / chances.sum())
 
 
-#: The identifier of a Python worker, for the models that it was last asked for.
-KEPT: list[tuple[dict, Identifier]] = []
-
-
-def identifier(models: dict[str, np.ndarray], path: str) -> Identifier:
+def identifier(models: Broadcast, path: str) -> Identifier:
     """Words that an earlier task of this worker has met need not be worked out again."""
-    if not KEPT or KEPT[0][0] is not models:
-        KEPT[:] = [(models, Identifier(models, path))]
-    return KEPT[0][1]
+    value = models.value
+    return kept(("language", path, *[(language, hash(v.tobytes())) for language, v in value.items()]), lambda: Identifier(value, path))
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
@@ -219,7 +215,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULAR
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = identifier(models.value, path)
+        judge = identifier(models, path)
         for batch in slices(batches, 1500):
             found = judge(batch.column(place).to_pylist())
             yield batch.filter(pa.array([language != UNKNOWN and score >= least for language, score in found], pa.bool_()))
@@ -238,7 +234,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> D
     models = docs.sparkSession.sparkContext.broadcast(learn(docs, path, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = identifier(models.value, path)
+        judge = identifier(models, path)
         for batch in slices(batches, 1500):
             found = judge(batch.column(2).to_pylist())
             languages, scores = zip(*found) if found else ((), ())

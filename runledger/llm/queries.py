@@ -99,7 +99,7 @@ def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    both = bpe.decode(bpe.encode(documents(spark, sf)))
+    both = bpe.encode_and_decode(documents(spark, sf))
     n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
     return both.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +22,7 @@ from tokenizers import Tokenizer
 
 from runledger.llm import token_coder
 from runledger.llm.bpe import encode_texts, slices
-from runledger.llm.common import shuffle_partitions, text_or_empty
+from runledger.llm.common import kept, shuffle_partitions, text_or_empty
 from runledger.session import shared_dir, stored
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,9 +50,8 @@ class Encoder:
         return encode_texts(texts, self.known, self.encode_chunks)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(("tokenizers", path), lambda: Encoder(path))
 
 
 #: A block's place: its file and number, and the ids before it in the file. Its documents: their number in the

@@ -59,6 +59,7 @@ def test_rank_queue_gives_the_lowest_rank():
 def test_documents_encode_and_decode(make):
     rows = ["some text", None, "", "  spaced   out ", "x" * 1000, "<|endoftext|>", "some text", (None, "no id")]
     got = bpe.decode(bpe.encode(make(rows))).collect()
+    assert Counter(bpe.encode_and_decode(make(rows)).collect()) == Counter(got)
     want = Counter((n if isinstance(r, (str, type(None))) else None, ids_of((r if not isinstance(r, tuple) else r[1]) or "")) for n, r in enumerate(rows))
     assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
     for r in got:
