@@ -27,8 +27,9 @@ from runledger.session import stored
 RARE, COMMON = 2000, 8
 #: A subset holds a term with probability 1 / 2 ** n; the first is the whole lexicon.
 SUBSETS = (0, 2, 4, *[5, 6] * 3, *[7, 8] * 5, *[9, 10] * 8)
-#: Hexadecimal digits of the fingerprint for each subset.
-DIGITS = 4
+#: Hexadecimal digits of the fingerprint for each subset: all 64 bits of the hash, so that unlike texts with few
+#: terms of the lexicon have unlike fingerprints, and a part by itself can be matched among many documents.
+DIGITS = 16
 #: Terms that a Python worker counts before it hands them over.
 HELD = 500_000
 EMPTY = "-" * DIGITS
@@ -109,7 +110,7 @@ class Fingerprinter:
         hashes, member = self.hashes[places], self.member[places].T
         parts = []
         for held, some in zip(member, member.any(axis=1).tolist()):
-            parts.append(xxhash.xxh3_64_hexdigest(hashes[held].tobytes())[:DIGITS] if some else EMPTY)
+            parts.append(xxhash.xxh3_64_hexdigest(hashes[held].tobytes()) if some else EMPTY)
         return "".join(parts)
 
 

@@ -101,6 +101,19 @@ def test_edited_texts_and_likeness(make):
     assert one[0].edited == hashlib.sha256(b"all aloall alo").hexdigest() and one[0].near_next == 1
 
 
+def test_unlike_texts_have_unlike_fingerprints():
+    words = [b"word%d" % n for n in range(4000)]
+    make_print = fingerprints.Fingerprinter(words)
+    prints = [make_print(word.decode()) for word in words]
+    assert len(set(prints)) == 4000
+    # Each part by itself tells terms apart.
+    for low in range(0, len(prints[0]), fingerprints.DIGITS):
+        parts = [p[low : low + fingerprints.DIGITS] for p in prints]
+        parts = [p for p in parts if p != fingerprints.EMPTY]
+        assert len(set(parts)) == len(parts)
+    assert max(fingerprints.likeness(prints[0], p) for p in prints[1:]) == 0
+
+
 def test_lexicon_counts_every_document(make):
     texts = ["The common, word"] * 40 + ["Rare thing"] * 2 + ["once"] + [f"filler{n} x" for n in range(60)]
     assert fingerprints.lexicon(make(texts), rare=60, common=2) == [b"common", b"rare", b"the", b"thing", b"word"]
