@@ -20,6 +20,8 @@ from runledger.session import stored
 
 BATCHES, FANOUT, MIN_CHARS = 4, 3, 10
 HASH = ["h1", "h2"]
+#: What tells rows apart: rows alike in both have the same lines and lose the same.
+ROW = ["doc_id", "text_hash"]
 
 
 class LineIndex:
@@ -70,11 +72,19 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit("\t\n\x0b\x0c\r ")), upper, upper.lower())
 
 
+def rows_of(docs: DataFrame, doc_id: Column) -> DataFrame:
+    """``doc_id, text_hash, text``: a row's text and its 64-bit hash, which tells rows alike in ``doc_id`` apart."""
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+
+
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, pos`` and the 128-bit hash of each line whose key has ``min_chars`` code points or more."""
-    lines = docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
-    keys = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    return keys.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    """The row, ``pos`` and the 128-bit hash of each line whose key has ``min_chars`` code points or more.
+
+    Reads ``doc_id, text_hash, text``.
+    """
+    lines = docs.select(*ROW, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    keys = lines.select(*ROW, "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    return keys.select(*ROW, "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
 
 
 def batch_bounds(docs: DataFrame, batches: int) -> list:
@@ -84,11 +94,11 @@ def batch_bounds(docs: DataFrame, batches: int) -> list:
 
 
 def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, places``: the line numbers, from 0 and ascending, that each document with such lines loses.
+    """``doc_id, text_hash, places``: the line numbers, from 0 and ascending, that each row with such lines loses.
 
     Reads ``doc_id`` and ``text``. A line goes if its key has ``min_chars`` code points or more and a
     smaller ``doc_id`` has it too; a null ``doc_id`` counts as smaller than any other. Rows alike in
-    ``doc_id`` are one document, so none of their lines goes for the other's sake.
+    ``doc_id`` are one document, so none of their lines goes for the other's sake; each has its own places.
     """
     spark = docs.sparkSession
     index = LineIndex(spark, shuffle_partitions(docs))
@@ -101,7 +111,7 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_
             part = part.where(F.col("doc_id") >= F.lit(int(low)))
         if high is not None:
             part = part.where((F.col("doc_id") < F.lit(int(high))) | (F.lit(low is None) & F.col("doc_id").isNull()))
-        part = part.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id"), "text")
+        part = rows_of(part, F.coalesce(F.col("doc_id"), F.lit(-(2**63))))
         lines = stored(lines_of(part, min_chars), "lines")
         firsts = lines.groupBy(*HASH).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
         new = stored(index.missing(firsts), "line_owners")
@@ -111,7 +121,7 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_
         index_add = new.select(*HASH)
         lost = lines.join(own, HASH, "left_anti").join(shared, HASH, "left")
         lost = lost.where(F.col("owner").isNull() | (F.col("owner") < F.col("doc_id")))
-        places = lost.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+        places = lost.groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("places"))
         parts.append(stored(places, "lost_lines"))
         index.add(index_add)
     index.drop()
@@ -125,10 +135,11 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
     Texts are split at line feeds; a null or empty text is one empty line. The lines that
     :func:`dropped_lines` names are cut out, the others stay as they are, joined by line feeds.
     """
-    lost = dropped_lines(docs, batches, min_chars).select(F.col("doc_id").alias("_id"), "places")
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    lost = dropped_lines(docs, batches, min_chars).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    texts = rows_of(docs, F.col("doc_id"))
     # A merge at any size: a plan that changed with the input would tell nothing about a larger one.
-    both = texts.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    both = texts.join(lost.hint("merge"), same, "left")
     lines = F.split("text", "\n", -1)
     cuts = F.coalesce("places", F.array().cast("array<int>"))
     both = both.select("doc_id", F.inline(F.array(F.struct(lines.alias("lines"), cuts.alias("cuts")))))

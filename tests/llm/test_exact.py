@@ -146,6 +146,16 @@ def test_lines_go_but_in_the_smallest_document(make, batches):
     assert not any(t.name.startswith("line_run_") for t in got.sparkSession.catalog.listTables())
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_rows_alike_in_doc_id_lose_their_own_lines(make, batches):
+    rows = [(1, "common line here"), (7, "common line here\nunique line aaa"), (7, "unique line bbb\ncommon line here")]
+    rows += [(9, "unique line ccc\n" * 5 + "common line here"), (9, "unique line ddd"), (9, None), (9, "unique line ddd")]
+    rows += [(None, "no id at all\nunique line eee"), (None, "unique line aaa")]
+    got = line_dedup.dedup_lines(make(rows), batches).collect()
+    assert Counter(map(tuple, got)) == plain_lines(rows)
+    assert {(r.doc_id, r.kept_text) for r in got} >= {(7, "unique line bbb"), (9, "unique line ddd"), (9, "")}
+
+
 def test_runs_are_merged_level_by_level(spark):
     index = line_dedup.LineIndex(spark, 2, fanout=2)
     for n in range(5):
