@@ -10,7 +10,7 @@ from runledger.session import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter, or of no one language, go."""
+    """Documents whose language can be told; those without a letter, or of none of the languages, go."""
     return language.keep_identified(docs)
 
 

@@ -9,7 +9,7 @@ of the forward sum, so no segmentation is chosen; the language with the largest
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +28,14 @@ from runledger.session import stored
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Texts of each language that its model is fitted on, at most, and the rounds of fitting.
 SAMPLE, ROUNDS = 300, 5
-#: Words are cut after so many characters; their parts are segmented apart.
+#: Words of more characters need scaling and are gone through in step; pieces of more are not looked for.
 PART, LONGEST = 32, 16
 #: Count that each piece has beforehand, and the probability of a character that no piece has.
 PRIOR, UNSEEN = 0.02, 1e-7
 #: Words that a Python worker remembers, and how many are worked out together.
 HELD, TOGETHER = 400_000, 20_000
 UNKNOWN = "und"
-#: Score under which a text is rejected as a mixture or as none of the languages.
+#: Score under which a text is rejected, as no language is clearly ahead; that takes a very short text.
 LEAST = 0.5
 
 
@@ -59,11 +59,6 @@ def word_of(chunk: str) -> str:
     return chunk[low:high].lower()
 
 
-def parts_of(word: str) -> list[str]:
-    word = "▁" + word
-    return [word[n : n + PART] for n in range(0, len(word), PART)]
-
-
 @lru_cache(maxsize=PART + 1)
 def stretches(n: int) -> list[tuple[int, int, int]]:
     """Start, end and the number that stands for no piece, of each stretch of n characters, by its end."""
@@ -93,31 +88,62 @@ def forward(spans: list, found: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return sums
 
 
+def steps(words: Sequence[str], pieces: dict[str, int]) -> Iterator[np.ndarray]:
+    """For each character of words that come longest first, the pieces that end there, longest first, by word.
+
+    Words that have ended are left out.
+    """
+    get, live = pieces.get, len(words)
+    for j in range(1, len(words[0]) + 1 if words else 0):
+        while len(words[live - 1]) < j:
+            live -= 1
+        lengths = [(k, int(k == 1)) for k in range(LONGEST, 0, -1)]
+        yield np.array([[get(word[j - k : j], none) if k <= j else 0 for k, none in lengths] for word in words[:live]], np.int32)
+
+
+def carried(every: Iterable[np.ndarray], count: int, chances: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Forward sums of long words, scaled: only the last LONGEST are carried on, the latest as 1.
+
+    For each character the factor by which the sum grows, and the share of it that each piece ending there has.
+    """
+    held = np.zeros((count, LONGEST, chances.shape[1]))
+    held[:, -1] = 1
+    for found in every:
+        shares = held[: len(found)] * chances[found]
+        grown = shares.sum(axis=1)
+        yield grown, shares / grown[:, None]
+        held = np.concatenate((held[: len(found), 1:] / grown[:, None], np.ones((len(found), 1, chances.shape[1]))), axis=1)
+
+
+def by_size(words: Sequence[str]) -> tuple[list[int], list[list[int]]]:
+    """Places of the short words, and those of the long ones, longest first, some at a time."""
+    short = [place for place, word in enumerate(words) if len(word) <= PART]
+    long = sorted((place for place, word in enumerate(words) if len(word) > PART), key=lambda place: -len(words[place]))
+    return short, [long[low : low + TOGETHER] for low in range(0, len(long), TOGETHER)]
+
+
 def log_chances(words: Sequence[str], pieces: dict[str, int], chances: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each word in each language."""
-    parts, owner = [], []
-    for place, word in enumerate(words):
-        for part in parts_of(word):
-            parts.append(part)
-            owner.append(place)
-    out, owner = np.zeros((len(words), chances.shape[1])), np.array(owner, np.int64)
-    for places, spans, found in lattices(parts, pieces):
-        np.add.at(out, owner[places], np.log(forward(spans, found, chances)[-1]))
+    """Log-likelihood of each word in each language, over all segmentations of the whole word."""
+    out, words = np.zeros((len(words), chances.shape[1])), ["▁" + word for word in words]
+    short, groups = by_size(words)
+    owner = np.array(short, np.int64)
+    for places, spans, found in lattices([words[place] for place in short], pieces):
+        out[owner[places]] = np.log(forward(spans, found, chances)[-1])
+    for group in groups:
+        total = np.zeros((len(group), chances.shape[1]))
+        for grown, _ in carried(steps([words[place] for place in group], pieces), len(group), chances):
+            total[: len(grown)] += np.log(grown)
+        out[group] = total
     return out
 
 
 def fit(words: Counter, pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
     """Probability of each piece, by expectation-maximisation over the words' segmentations."""
-    counts: Counter = Counter()
-    for word, n in words.items():
-        for part in parts_of(word):
-            counts[part] += n
-    size = len(pieces) + 2
-    every = [
-        (spans, found, np.array([counts[parts[p]] for p in places], float))
-        for parts in [list(counts)]
-        for places, spans, found in lattices(parts, pieces)
-    ]
+    size, all_words, counts = len(pieces) + 2, ["▁" + word for word in words], np.array(list(words.values()), float)
+    short, groups = by_size(all_words)
+    owner = np.array(short, np.int64)
+    every = [(spans, found, counts[owner[p]]) for p, spans, found in lattices([all_words[place] for place in short], pieces)]
+    long = [(list(steps([all_words[place] for place in group], pieces)), counts[group]) for group in groups]
     chances = np.full(size, 1 / size)
     chances[:2] = 0, UNSEEN
     for _ in range(rounds):
@@ -131,6 +157,18 @@ def fit(words: Counter, pieces: dict[str, int], rounds: int = ROUNDS) -> np.ndar
                 here = chances[found[:, s]] * behind[j]
                 behind[i] += here
                 expected += np.bincount(found[:, s], here * ahead[i], size)
+        for found_at, weight in long:
+            # How likely a piece ends at each character goes back by the shares, the last one's being certain.
+            shares = [share[:, :, 0] for _, share in carried(found_at, len(weight), chances[:, None])]
+            ends, live = np.zeros((len(weight), LONGEST + 1)), 0
+            for found, share in zip(reversed(found_at), reversed(shares)):
+                ends[live : len(found), -1] = weight[live : len(found)]
+                live = len(found)
+                here = ends[:live, -1:] * share
+                expected += np.bincount(found.ravel(), here.ravel(), size)
+                ends[:live, 1:] = ends[:live, :-1]
+                ends[:live, 0] = 0
+                ends[:live, 1:] += here
         expected[:2] = 0
         chances = (expected + PRIOR) / (expected.sum() + PRIOR * size)
         chances[:2] = 0, UNSEEN
@@ -167,16 +205,20 @@ def learn(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> dict
 class Identifier:
     def __init__(self, models: dict[str, np.ndarray], path: str) -> None:
         self.languages, self.pieces = list(models), vocabulary(path)
-        self.chances = np.stack(list(models.values()), axis=1) if models else np.zeros((len(self.pieces) + 2, 0))
+        # The last column is the background, any piece being as likely as any other.
+        any_piece = np.full(len(self.pieces) + 2, 1 / len(self.pieces))
+        any_piece[:2] = 0, UNSEEN
+        self.chances = np.stack([*models.values(), any_piece], axis=1)
         self.forget()
 
     def forget(self) -> None:
         """Place 0 is that of a chunk without a letter."""
         self.place: dict[str, int] = {}
-        self.logs = [np.zeros((1, len(self.languages)))]
+        self.logs = [np.zeros((1, self.chances.shape[1]))]
         self.held = 1
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language and score of each text, and whether the language explains it better than the background does."""
         if self.held > HELD:
             self.forget()
         new = list(set().union(*[t.split() for t in texts if t]).difference(self.place))
@@ -190,14 +232,15 @@ class Identifier:
         self.logs = [logs]
         return [self.judge(logs, text) for text in texts]
 
-    def judge(self, logs: np.ndarray, text: str | None) -> tuple[str, float]:
+    def judge(self, logs: np.ndarray, text: str | None) -> tuple[str, float, bool]:
         places = np.fromiter(map(self.place.__getitem__, text.split()), np.int64) if text else np.zeros(0, np.int64)
         if not self.languages or not places.any():
-            return UNKNOWN, 0.0
-        total = logs[places].sum(axis=0)
+            return UNKNOWN, 0.0, False
+        *total, background = logs[places].sum(axis=0)
+        total = np.array(total)
         chances = np.exp(total - total.max())
         best = int(chances.argmax())
-        return self.languages[best], float(chances[best] / chances.sum())
+        return self.languages[best], float(chances[best] / chances.sum()), bool(total[best] > background)
 
 
 def identifier(models: Broadcast, path: str) -> Identifier:
@@ -209,7 +252,9 @@ def identifier(models: Broadcast, path: str) -> Identifier:
 def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose language :func:`identify` tells with a score of at least ``least``, all columns as they are.
 
-    Texts that get ``und`` go. Rows are judged where they are read; nothing is shuffled.
+    Texts that get ``und`` go, and so do those that any piece being as likely as any other explains better
+    than the best language does: other languages and gibberish. The score tells learned languages apart
+    only and is near 1 beyond a few words, so a mixture of them stays unless it fails the second test. Rows are judged where they are read; nothing is shuffled.
     """
     models = docs.sparkSession.sparkContext.broadcast(learn(docs, path, sample))
     place = docs.columns.index("text")
@@ -218,7 +263,7 @@ def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULAR
         judge = identifier(models, path)
         for batch in slices(batches, 1500):
             found = judge(batch.column(place).to_pylist())
-            yield batch.filter(pa.array([language != UNKNOWN and score >= least for language, score in found], pa.bool_()))
+            yield batch.filter(pa.array([fits and score >= least for _, score, fits in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -237,7 +282,7 @@ def identify(docs: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE) -> D
         judge = identifier(models, path)
         for batch in slices(batches, 1500):
             found = judge(batch.column(2).to_pylist())
-            languages, scores = zip(*found) if found else ((), ())
+            languages, scores, _ = zip(*found) if found else ((), (), ())
             columns = [batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
             yield pa.record_batch(columns, ["doc_id", "held_out", "lang_pred", "score"])
 

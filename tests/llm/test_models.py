@@ -151,6 +151,38 @@ def test_forward_sums_all_segmentations():
     assert fitted[6] == max(fitted) and fitted[2:].sum() == pytest.approx(1, abs=0.05)
 
 
+def test_long_words_are_summed_over_all_segmentations():
+    random.seed(11)
+    pieces = {"▁": 2, "a": 3, "b": 4, "ab": 5, "abba": 6, "b" * 16: 7}
+    chances = np.array([[0, 0], [1e-7, 1e-7], [0.1, 0.2], [0.2, 0.1], [0.1, 0.3], [0.3, 0.1], [0.2, 0.2], [0.1, 0.1]])
+    words = ["".join(random.choices("aabbc", k=n)) for n in (31, 32, 33, 40, 60, 47)] + ["b" * 70, "short"]
+    for word, got in zip(words, language.log_chances(words, pieces, chances)):
+        sums = [np.ones(2)]
+        for j in range(1, len(word) + 2):
+            ends = [(i, ("▁" + word)[i:j]) for i in range(max(0, j - 16), j)]
+            sums.append(sum(sums[i] * chances[pieces.get(piece, int(len(piece) == 1))] for i, piece in ends))
+        assert got == pytest.approx(np.log(sums[-1]))
+    assert np.isfinite(language.log_chances(["c" * 2000], pieces, chances)).all()
+
+
+def test_long_and_short_words_are_fitted_alike(monkeypatch):
+    pieces = {"▁": 2, "a": 3, "b": 4, "ab": 5, "abba": 6, "ba": 7}
+    words = Counter({"abbaab": 5, "ab": 3, "baab" * 4: 2, "abbac": 1})
+    want = language.fit(words, pieces)
+    monkeypatch.setattr(language, "PART", 4)
+    assert language.fit(words, pieces) == pytest.approx(want)
+
+
+def test_texts_of_no_language_go(make):
+    random.seed(12)
+    rows = [(n, "the cat and the dog", "en") for n in range(30)] + [(n, "der hund und die katze", "de") for n in range(30, 60)]
+    gibberish = " ".join("".join(random.choices("qxzjkvwbpfgh", k=8)) for _ in range(40))
+    rows += [(100, gibberish, None), (101, "Быстрая коричневая лиса прыгает " * 5, None), (102, "快速的棕色狐狸" * 20, None)]
+    docs = make(rows)
+    assert {r.doc_id for r in language.keep_identified(docs).collect()} == set(range(60))
+    assert all(r.score > 0.5 for r in language.identify(docs).where("doc_id < 60").collect())
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
