@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, exact_dedup, fingerprints, jaccard, language, line_dedup, mixing, pii, secrets, token_files
+from runledger.llm import (
+    bpe, exact_dedup, filter_audit, fingerprints, jaccard, language, line_dedup, mixing, outliers, pii, resampling, secrets, token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,3 +183,97 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf))
+
+
+@query(r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), texts AS (
+  SELECT 'documents' AS side, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'benchmark', NULL, coalesce(text, '') FROM benchmark
+), worded AS (
+  SELECT side, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM texts
+), unnested AS (
+  SELECT side, doc_id, unnest(words) AS word FROM worded
+), vocabulary AS (
+  SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM unnested)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT),
+                               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+  FROM vocabulary, crc
+), counted AS (
+  SELECT bucket, count(*) FILTER (side = 'documents') AS s, count(*) FILTER (side = 'benchmark') AS t
+  FROM unnested JOIN hashed USING (word) GROUP BY bucket
+), sums AS (
+  SELECT sum(s)::DOUBLE + 10000 AS s_all, sum(t)::DOUBLE + 10000 AS t_all FROM counted
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * s_all) / ((s + 1) * t_all)))::BIGINT AS gain FROM counted, sums
+), weighed AS (
+  SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM unnested JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'documents' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM numbered
+""")
+def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return resampling.resample(documents(spark, sf), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(r"""
+WITH read AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), said AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+          100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+          doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails
+  FROM read LEFT JOIN said USING (doc_id)
+), masks AS (
+  SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM judged GROUP BY ALL
+), letters AS (
+  SELECT unnest(range(1, 6)) AS f
+), orders AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT o, unnest(range(1, 6)) AS step FROM orders
+), removed_at AS (
+  SELECT part, fails, n, good, toxic, o,
+         coalesce(list_min(list_transform(range(1, 6), lambda i: CASE WHEN fails[o[i]] THEN i END)), 6) AS r
+  FROM masks, orders
+), effects AS (
+  SELECT part, o, step, sum(CASE WHEN r > step THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN r = step THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN r < step AND fails[o[step]] THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN r = step THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN r = step THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM removed_at JOIN steps USING (o) GROUP BY part, o, step
+)
+SELECT part, array_to_string(list_transform(o, lambda i: chr((64 + i)::INTEGER)), '') AS filter_order, step::INTEGER AS step, kept, removed,
+       redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, o[step])::BIGINT AS shapley
+FROM effects
+""")
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    judged = filter_audit.failures(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    return filter_audit.audit(judged, "part", "ABCDE", ["good", "toxic"])
+
+
+@query()
+def op13_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return outliers.judge(documents(spark, sf)).select("doc_id", *counts, "base_failed", "kept")
