@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from runledger.schemas import TABLES
 from runledger.session import stored
@@ -59,23 +62,69 @@ def change_table(
 ) -> int:
     """Change a table partitioned by ``part`` where it has, or is to have, rows of ``keys``; return the rows written.
 
-    ``keys`` are the changed keys, with ``part`` where a change adds or moves rows. ``change`` gets the rows of
-    the partitions concerned. Its result is written aside first and then replaces these partitions; others
-    are neither read in full nor written. A partition that ends up empty is dropped.
+    ``keys`` are the changed keys, with ``part`` where a change adds or moves rows; a null key matches none.
+    ``change`` gets the rows of the partitions concerned. Its result is written to a new folder, and when all of it
+    is there each partition is pointed at its own share; others are neither read in full nor touched, and no
+    session setting matters. A partition that ends up empty is dropped. Null is a partition like any other,
+    and an empty text is null, as in any partition that Spark writes. A failure leaves every partition whole,
+    as before or as changed; the change made again by key completes it. Folders of earlier contents stay
+    for readers that have begun, until :func:`remove_unused`.
     """
     rows = spark.table(table)
-    names = rows.columns
-    concerned = rows.select(*key, part).join(keys.select(*key), list(key), "left_semi").select(part)
+    names = [c for c in rows.columns if c != part]
+    kind = rows.schema[part].dataType
+    value = F.col(part).cast(kind)
+    value = (F.nullif(value, F.lit("")) if isinstance(kind, StringType) else value).alias("value")
+    text = F.col("value").cast("string").alias("text")
+    concerned = rows.select(*key, part).join(keys.select(*key), list(key), "left_semi").select(value)
     if part in keys.columns:
-        concerned = concerned.union(keys.where(F.col(part).isNotNull()).select(part))
-    concerned = stored(concerned.distinct(), "concerned")
-    aside = stored(change(rows.join(concerned, part, "left_semi").select(*names)).select(*names), "changed")
-    for gone in concerned.join(aside.select(part).distinct(), part, "left_anti").collect():  # a row for each partition
-        value = str(gone[0]).replace("\\", "\\\\").replace("'", "\\'")
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{part}` = '{value}')")
-    counted, seen = _counted(aside)
-    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    return seen.get["rows"]
+        concerned = concerned.union(keys.select(value))
+    wanted = {r.text: r.value for r in concerned.distinct().select("value", text).collect()}  # a row for each partition
+    held = F.coalesce(F.col(part).isin([v for v in wanted.values() if v is not None]), F.lit(None in wanted))
+    changed = stored(change(rows.where(held).select(*rows.columns)).select(F.struct(*names).alias("row"), value), "changed")
+    found = changed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select("value", text, "n").collect()
+    version = uuid.uuid4().hex
+    folder, slot = f"{location(spark, table).rstrip('/')}/_{version}", f"slot_{version}"
+    # Each partition's rows in a folder by its own number, whatever characters its value has.
+    schema = StructType([StructField("of", kind), StructField(slot, IntegerType())])
+    numbered = spark.createDataFrame([(r.value, n) for n, r in enumerate(found)], schema)
+    placed = changed.join(numbered, F.col("value").eqNullSafe(F.col("of"))).select("row.*", slot)
+    placed.hint("rebalance", slot).write.partitionBy(slot).parquet(folder)
+    for n, r in enumerate(found):
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (`{part}` = {_literal(r.text)}) LOCATION '{folder}/{slot}={n}'")
+        spark.sql(f"ALTER TABLE {table} PARTITION (`{part}` = {_literal(r.text)}) SET LOCATION '{folder}/{slot}={n}'")
+    for emptied in wanted.keys() - {r.text for r in found}:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{part}` = {_literal(emptied)})")
+    spark.catalog.refreshTable(table)
+    return sum(r.n for r in found)
+
+
+def _literal(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def remove_unused(spark: SparkSession, table: str) -> int:
+    """Delete the folders below a table that earlier changes have left and no partition points at; return their number.
+
+    For times when nobody reads or changes the table.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location(spark, table))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = F.regexp_extract(F.col("_metadata.file_path"), r"/(_[0-9a-f]{32}/slot_[0-9a-f]{32}=\d+)/[^/]*$", 1)
+    used = {r[0] for r in spark.table(table).select(names).distinct().collect()}
+    removed = 0
+    for version in files.listStatus(root):
+        name = version.getPath().getName()
+        if re.fullmatch("_[0-9a-f]{32}", name):
+            for slot in files.listStatus(version.getPath()):
+                if f"{name}/{slot.getPath().getName()}" not in used:
+                    removed += files.delete(slot.getPath(), True)
+    return removed
+
+
+def location(spark: SparkSession, table: str) -> str:
+    """The folder of a catalog table."""
+    return spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first().data_type
 
 
 def sql(spark: SparkSession, text: str, args: Mapping[str, object] | None = None, **views: DataFrame) -> DataFrame:
