@@ -58,7 +58,8 @@ def write_folder(
 
 
 def change_table(
-    spark: SparkSession, table: str, part: str, keys: DataFrame, key: Sequence[str], change: Callable[[DataFrame], DataFrame]
+    spark: SparkSession, table: str, part: str, keys: DataFrame, key: Sequence[str], change: Callable[[DataFrame], DataFrame],
+    moves: bool = True,
 ) -> int:
     """Change a table partitioned by ``part`` where it has, or is to have, rows of ``keys``; return the rows written.
 
@@ -68,7 +69,8 @@ def change_table(
     session setting matters. A partition that ends up empty is dropped. Null is a partition like any other,
     and an empty text is null, as in any partition that Spark writes. A failure leaves every partition whole,
     as before or as changed; the change made again by key completes it. Folders of earlier contents stay
-    for readers that have begun, until :func:`remove_unused`.
+    for readers that have begun, until :func:`remove_unused`. With ``moves`` False a key has its rows in the
+    partition that ``keys`` say and in no other, so the table is not looked through for them.
     """
     rows = spark.table(table)
     names = [c for c in rows.columns if c != part]
@@ -76,9 +78,10 @@ def change_table(
     value = F.col(part).cast(kind)
     value = (F.nullif(value, F.lit("")) if isinstance(kind, StringType) else value).alias("value")
     text = F.col("value").cast("string").alias("text")
-    concerned = rows.select(*key, part).join(keys.select(*key), list(key), "left_semi").select(value)
-    if part in keys.columns:
-        concerned = concerned.union(keys.select(value))
+    concerned = keys.select(value) if part in keys.columns else None
+    if moves:
+        found = rows.select(*key, part).join(keys.select(*key), list(key), "left_semi").select(value)
+        concerned = concerned.union(found) if concerned else found
     wanted = {r.text: r.value for r in concerned.distinct().select("value", text).collect()}  # a row for each partition
     held = F.coalesce(F.col(part).isin([v for v in wanted.values() if v is not None]), F.lit(None in wanted))
     changed = stored(change(rows.where(held).select(*rows.columns)).select(F.struct(*names).alias("row"), value), "changed")

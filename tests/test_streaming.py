@@ -1,41 +1,132 @@
+import json
 import time
-from functools import partial
+from datetime import datetime, timedelta
 
+import pytest
 from logmaker import as_lines, random_log
 from pyspark.sql import functions as F
 
-from runledger.operators.spans import build_spans
+from runledger.operators.spans import build_spans, span_changes, track
 from runledger.plans.jobs import job_outcomes
 from runledger.sources.logs import decode_events, read_event_lines
-from runledger.streaming.spans import current_spans, events_of_lines, segment_lines, stream_lines, stream_spans
+from runledger.sources.tail import TailReader, tail_lines, whole_lines
+from runledger.streaming.spans import current_spans, events_of_lines, stream_spans, upsert_spans
 from runledger.streaming.stalled import stream_stalled
 
 LINES = "job_uuid string, seq long, line string"
 
 
-def land(folder, job, lines, first):
-    path = folder / job / f"{first}.json"
+def grow(folder, job, text):
+    path = folder / job / "log.json"
     path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_suffix(".part")
-    part.write_text("".join(line + "\n" for line in lines))
-    part.rename(path)
+    with path.open("ab") as out:
+        out.write(text.encode() if isinstance(text, str) else text)
 
 
-def test_stream_equals_batch_over_restarts(spark, tmp_path):
+@pytest.fixture
+def spans_table(spark):
+    name = f"spans_{time.time_ns()}"
+    yield name
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def batch_spans(spark, logs):
+    """Spans of whole logs; a line's number is the place of its first byte."""
+    rows = []
+    for job, lines in logs.items():
+        at = 0
+        for line in lines:
+            rows.append((job, at + 1, line))
+            at += len(line.encode()) + 1
+    return build_spans(decode_events(spark.createDataFrame(rows, LINES))[0])
+
+
+def as_text(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_stream_equals_batch_over_restarts_and_half_lines(spark, tmp_path, spans_table):
     logs = {f"job{i}": [line for _, _, line in as_lines("", random_log(200 + i, 90))] for i in range(3)}
-    landing, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
-    for first in (1, 31, 61):
-        for job, lines in logs.items():
-            land(landing, job, lines[first - 1 : first + 29], first)
-        stream = stream_lines(spark, f"{landing}/*")
-        events = partial(events_of_lines, max_rows=20)
-        query = stream_spans(stream, out, checkpoint, events, trigger={"availableNow": True})
-        query.awaitTermination()
-    rows = [(job, seq, line) for job, lines in logs.items() for seq, line in enumerate(lines, 1)]
-    want = build_spans(decode_events(spark.createDataFrame(rows, LINES))[0])
-    got = current_spans(spark, out)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    whole = {job: "".join(line + "\n" for line in lines).encode() for job, lines in logs.items()}
+    landing, checkpoint = tmp_path / "in", str(tmp_path / "check")
+    done = dict.fromkeys(whole, 0)
+    for share in (0.21, 0.22, 0.7, 1.0):
+        for job, text in whole.items():
+            end = int(len(text) * share)  # in the middle of a line, mostly
+            grow(landing, job, text[done[job] : end])
+            done[job] = end
+        events = events_of_lines(tail_lines(spark, str(landing), split=1000))
+        stream_spans(events, spans_table, checkpoint, trigger={"availableNow": True}, buckets=2).awaitTermination()
+    want, got = batch_spans(spark, logs), current_spans(spark, spans_table)
+    assert as_text(got) == as_text(want)
     assert job_outcomes(got).count() == job_outcomes(want).count()
+    batches = {(r.query, r.id) for r in spark.table(spans_table).select("batch.*").collect()}
+    assert len(batches) > 1 and {query for query, _ in batches} == {checkpoint}
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, spans_table):
+    rows = [("a", seq, line) for seq, line in enumerate((x for _, _, x in as_lines("", random_log(5, 80))), 1)]
+    changes = span_changes(track(decode_events(spark.createDataFrame(rows, LINES))[0], max_rows=None))
+    parts = [changes.where(f"seq % 3 = {n}") for n in range(3)]
+    for n in (0, 1, 1, 2, 0):
+        upsert_spans(parts[n], spans_table, "q", n, buckets=2)
+    assert as_text(current_spans(spark, spans_table)) == as_text(build_spans(decode_events(spark.createDataFrame(rows, LINES))[0]))
+
+
+def test_spans_follow_a_log_under_a_timed_trigger(spark, tmp_path, spans_table):
+    lines = [line for _, _, line in as_lines("", random_log(31, 60))]
+    grow(tmp_path / "in", "j", "".join(x + "\n" for x in lines[:20]))
+    events = events_of_lines(tail_lines(spark, str(tmp_path / "in")))
+    running = stream_spans(events, spans_table, str(tmp_path / "check"), trigger={"processingTime": "1 second"}, buckets=2)
+    try:
+        for upto, before in ((20, 0), (60, 20)):
+            grow(tmp_path / "in", "j", "".join(x + "\n" for x in lines[20:upto]) if before else "")
+            want, deadline = as_text(batch_spans(spark, {"j": lines[:upto]})), time.time() + 90
+            while time.time() < deadline:
+                if spark.catalog.tableExists(spans_table) and as_text(current_spans(spark, spans_table)) == want:
+                    break
+                time.sleep(1)
+            assert as_text(current_spans(spark, spans_table)) == want
+    finally:
+        running.stop()
+
+
+def test_an_event_without_a_time_gets_that_of_its_batch(spark, tmp_path, spans_table):
+    grow(tmp_path / "in", "j", '{"phase":"PROJECT","event":"start","data":{}}\n')
+    events = events_of_lines(tail_lines(spark, str(tmp_path / "in")))
+    stream_spans(events, spans_table, str(tmp_path / "check"), trigger={"availableNow": True}).awaitTermination()
+    batch = json.loads((tmp_path / "check" / "offsets" / "0").read_text().splitlines()[1])["batchTimestampMs"]
+    (row,) = current_spans(spark, spans_table).collect()
+    assert row.created_at == datetime(1970, 1, 1, 5, 30) + timedelta(milliseconds=batch)
+
+
+def read_all(reader, start, end):
+    return [row for p in reader.partitions(start, end) for b in reader.read(p) for row in zip(*b.to_pydict().values())]
+
+
+@pytest.mark.parametrize("split", [1, 2, 3, 7, 1000])
+def test_ranges_hold_each_line_once(tmp_path, split):
+    text = "a\n\nbcd é\n" + "x" * 50 + "\r\nlast\n"
+    for job, more in (("p", ""), ("q", "half")):
+        grow(tmp_path, job, text + more)
+    grow(tmp_path, "r", "no end yet")
+    reader = TailReader(str(tmp_path), r"\.json$", split)
+    end = reader.latestOffset()
+    size = len(text.encode())
+    assert end == {str(tmp_path / "p/log.json"): size, str(tmp_path / "q/log.json"): size, str(tmp_path / "r/log.json"): 0}
+    want = [(0, "a"), (2, ""), (3, "bcd é"), (10, "x" * 50), (62, "last")]
+    for job in "pq":
+        assert sorted((at, line) for file, at, line in read_all(reader, {}, end) if f"/{job}/" in file) == want
+    grow(tmp_path, "q", " is whole now\nnext")
+    later = reader.latestOffset()
+    assert [(at, line) for _, at, line in read_all(reader, end, later)] == [(size, "half is whole now")]
+    assert reader.partitions(later, later) == []
+
+
+def test_the_end_of_the_last_whole_line_is_found_block_by_block():
+    for text in (b"", b"\n", b"abc", b"abc\ndef", b"abc\n" + b"y" * 200_000, b"y" * 200_000 + b"\n"):
+        got = whole_lines(len(text), lambda low, n, t=text: t[low : low + n], 0)
+        assert got == text.rfind(b"\n") + 1
 
 
 def test_stalled_jobs_are_reported_once(spark, tmp_path):
@@ -68,39 +159,6 @@ def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
     assert read_event_lines(spark, f"{tmp_path}/*", first_match=True).count() == 400
 
 
-def test_large_segments_are_numbered_split_by_split(spark, tmp_path):
-    land(tmp_path, "j", [f"line {i}" for i in range(500)], 7)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
-    try:
-        batch = spark.read.text(f"{tmp_path}/j").select(
-            F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_size").alias("_size"),
-            F.col("_metadata.file_modification_time").alias("_landed"),
-        )
-        rows = segment_lines(batch).collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted((r.job_uuid, r.seq, r.line) for r in rows) == [("j", i + 7, f"line {i}") for i in range(500)]
-
-
-def test_an_event_without_a_time_gets_that_of_its_segment(spark, tmp_path):
-    import os
-    from datetime import datetime
-
-    land(tmp_path, "j", ['{"phase":"PROJECT","event":"start","data":{}}'], 1)
-    os.utime(tmp_path / "j" / "1.json", (1705320000, 1705320000))
-    batch = spark.read.text(f"{tmp_path}/j").select(
-        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.lit(0).alias("_block"),
-        F.lit(1).alias("_size"), F.col("_metadata.file_modification_time").alias("_landed"),
-    )
-    for zone in ("UTC", "America/New_York"):
-        spark.conf.set("spark.sql.session.timeZone", zone)
-        try:
-            assert [r.ts for r in events_of_lines(batch).collect()] == [datetime(2024, 1, 15, 17, 30)] * 1
-        finally:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def test_listed_names_are_as_stored(spark, tmp_path):
     from runledger.sources.objects import list_objects
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ from runledger.operators.best import (
 )
 from runledger.operators.chunks import MAX_ROWS, add_chunks
 from runledger.operators.quality import classify_failure, parse_quality
-from runledger.operators.spans import build_all, build_spans, iterations_of, rejected_starts, track
+from runledger.operators.spans import build_all, build_spans, iterations_of, rejected_starts, span_changes, track
 from runledger.plans.jobs import job_outcomes
 from runledger.plans.reports import accuracy_report, eval_file_paths, iteration_metadata, job_status, job_time
 from runledger.session import shared_dir, spread, stored
 from runledger.sources.logs import decode_events, decode_lines, read_event_lines
-from runledger.streaming.spans import current_spans, stream_spans
+from runledger.sources.tail import tail_lines
+from runledger.streaming.spans import current_spans, events_of_lines, stream_spans, upsert_spans
 from workload.registry import query, table
 
 # One log line per event: the event's k picks phase and event, its type and value fill the payload.
@@ -243,23 +246,67 @@ def log_outcomes(spark, sf):
     return outcomes.select("job_uuid", _stamp("completed_at"), "success", "message")
 
 
-@query(_ITERATIONS_SQL)
-def stream_spans_in_batches(spark, sf):
-    """The log landed and streamed in three parts, each a run of the query from its checkpoint."""
+def _grow(lines: DataFrame, root: str) -> None:
+    """Append lines to a file for each job, by the job's one task."""
+
+    def write(rows):
+        from itertools import groupby
+
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(root)
+        for job, own in groupby(rows, key=lambda r: r.job_uuid):
+            system.create_dir(f"{path}/{job}")
+            with system.open_append_stream(f"{path}/{job}/log.json") as out:
+                for row in own:
+                    out.write(f"{row.text}\n".encode())
+
+    text = F.concat_ws("\t", F.col("seq").cast("string"), "line").alias("text")
+    lines.repartition("job_uuid").sortWithinPartitions("job_uuid", "seq").select("job_uuid", text).foreachPartition(write)
+
+
+def _thirds(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The log's lines in three parts that follow each other."""
     lines = run_log(spark, sf).select("job_uuid", "seq", "line")
-    root = shared_dir(spark, "stream")
     bounds = lines.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    if bounds["low"] is None:
+        return [lines]
     width = (bounds["high"] - bounds["low"]) // 3 + 1
-    for part in range(3):
-        low = bounds["low"] + part * width
-        lines.where((F.col("seq") >= low) & (F.col("seq") < low + width)).write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(lines.schema).parquet(f"{root}/in")
-        running = stream_spans(
-            stream, f"{root}/out", f"{root}/checkpoint", events=lambda df: decode_events(_chunked(df))[0],
-            trigger={"availableNow": True},
-        )
-        running.awaitTermination()
-    return _iteration_columns(iterations_of(current_spans(spark, f"{root}/out")))
+    starts = [bounds["low"] + part * width for part in range(3)]
+    return [lines.where((F.col("seq") >= low) & (F.col("seq") < low + width)) for low in starts]
+
+
+def _tailed(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of what :func:`_grow` adds; each line begins with its number."""
+    return tail_lines(spark, root).select("file", "at", F.substring_index("line", "\t", 1).cast("long").alias("seq"), F.expr("substring(line, locate('\t', line) + 1)").alias("line"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS job_uuid, event_id AS seq FROM events")
+def tailed_logs(spark, sf):
+    """Line numbers read from files that grow between three runs of a stream."""
+    root = shared_dir(spark, "tail")
+    for part in _thirds(spark, sf):
+        _grow(part, f"{root}/logs")
+        lines = _tailed(spark, f"{root}/logs").select(F.regexp_extract("file", "([^/]+)/[^/]*$", 1).alias("job_uuid"), "seq")
+        running = lines.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        running.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_uuid string, seq long").parquet(f"{root}/out")
+
+
+@query(_ITERATIONS_SQL)
+def stream_spans_in_batches(spark, sf):
+    """Logs that grow between three runs of a stream, which upserts spans into a stored table; one batch comes twice."""
+    root, name = shared_dir(spark, "stream"), f"spans_{uuid4().hex}"
+    checkpoint = f"{root}/checkpoint"
+    for part in _thirds(spark, sf):
+        _grow(part, f"{root}/logs")
+        events = events_of_lines(_tailed(spark, f"{root}/logs"), seq=F.col("seq"))
+        stream_spans(events, name, checkpoint, trigger={"availableNow": True}, buckets=4).awaitTermination()
+    first = stored(span_changes(track(_log_events(spark, sf), max_rows=None)).where("seq % 3 = 0"), "again")
+    upsert_spans(first, name, checkpoint, 0, buckets=4)
+    rows = stored(_iteration_columns(iterations_of(current_spans(spark, name))), "spans")
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 def _broken_log(spark: SparkSession, sf: str) -> DataFrame:
