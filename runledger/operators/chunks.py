@@ -7,10 +7,12 @@ chunk). Rows of all other keys carry a null chunk, so they stay together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from runledger.session import stored
 
@@ -46,23 +48,92 @@ def places(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame
     return numbered.join(sums, same).select(*tuples, (F.col("_place") + F.col("_before")).alias("_rank"), "_rows")
 
 
+#: Kinds of order columns that a sketch of quantiles takes.
+SKETCHED = (NumericType, DateType, TimestampType, TimestampNTZType)
+#: Chunks are aimed at this part of ``max_rows``, and the sketch errs by so many parts of a chunk.
+FILLED, FINE = 0.5, 20
+
+
+def cuts(rows: DataFrame, key: Sequence[str], first: str, heavy: DataFrame, max_rows: int) -> DataFrame:
+    """``key, _cuts``: for each heavy key the ascending values of ``first`` after which a chunk ends.
+
+    One sketch of quantiles per key and task, merged, serves all keys: its grid is that of the heaviest, and a
+    lighter key takes every so many-th value of it. In all there are about 2 values for each ``max_rows`` rows.
+    """
+    most = heavy.agg(F.max("_rows")).first()[0]
+    parts = max(2, math.ceil(most / (FILLED * max_rows)))
+    grid = [n / parts for n in range(1, parts)]
+    sketched = rows.groupBy(*key).agg(F.percentile_approx(first, grid, min(FINE * parts, 2**31 - 1)).alias("_grid"), F.count(F.lit(1)).alias("_rows"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(FILLED * max_rows * parts) / F.col("_rows"))).cast("int")
+    places = F.sequence(step, F.lit(parts - 1), step)
+    taken = F.when(step <= parts - 1, F.transform(places, lambda p: F.get("_grid", p - 1))).otherwise(F.array(F.get("_grid", F.lit(0))))
+    return sketched.select(*key, F.array_distinct(taken).alias("_cuts"))
+
+
+def chunk_of(value: Column, values: Column, most: int) -> Column:
+    """How many of the ascending ``values``, ``most`` at most, are smaller: found by halving."""
+    place = F.lit(0)
+    for step in (1 << n for n in reversed(range(most.bit_length()))):
+        # A lambda's argument is worked out once, however often it is named.
+        higher = lambda p, step=step: F.when(F.get(values, p + (step - 1)) < value, p + step).otherwise(p)
+        place = F.get(F.transform(F.array(place), higher), F.lit(0))
+    return place
+
+
 def add_chunks(df: DataFrame, key: Sequence[str], order: str | Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
     """Add ``_chunk`` where some key is heavy; return ``df`` as it is where none is.
 
-    Chunks ascend with ``order`` and begin every ``max_rows`` rows of their key. Rows alike in all of
-    ``order`` never part; but for them, no chunk is larger. One count per key is read first (one narrow,
-    pre-aggregated pass); only a heavy key costs more. Rows then get their chunk by key and order
-    together, so a heavy key's rows meet in no task.
+    Chunks ascend with ``order`` and hold ``max_rows`` rows of their key at most; only rows alike in all of ``order``
+    never part. One count per key is read first (one narrow, pre-aggregated pass); only a heavy key costs more. A
+    sketch of its first order column's quantiles gives values to cut at, and each row finds its chunk by halving
+    among its key's values: no row is shuffled. An exact count per chunk confirms the bound. A key with a chunk
+    above it, as many equal values make, is cut again by the places of its order tuples, as are keys whose first
+    order column has no quantiles.
     """
     order = [order] if isinstance(order, str) else list(order)
-    if heavy_keys(df, key, max_rows).limit(1).count() == 0:
+    heavy = stored(heavy_keys(df, key, max_rows), "heavy")
+    if heavy.isEmpty():
         return df
+    over, cut = heavy, df.withColumn(CHUNK, F.lit(None).cast("long"))
+    if isinstance(df.schema[order[0]].dataType, SKETCHED):
+        # A heavy key has more than max_rows rows, so there are at most rows / max_rows of them, and twice as many values.
+        found = stored(cuts(_rows_of(df, key, heavy).select(*key, order[0]), key, order[0], heavy, max_rows), "cuts")
+        sizes = _cut_by(_rows_of(df, key, heavy), key, order[0], found).groupBy(*key, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
+        over = stored(sizes.where(F.col("_rows") > max_rows).select(*key).distinct(), "over")
+        fine = _rows_of(found, key, over, "left_anti")
+        if not fine.isEmpty():
+            cut = _cut_by(df, key, order[0], stored(fine, "cuts"))
+    return cut if over.isEmpty() else _cut_by_places(cut, key, order, over, max_rows)
+
+
+def _named(names: Sequence[str]) -> tuple[list[Column], list[Column]]:
+    """Columns under other names, and the conditions that they equal those of a row, null or not."""
+    return [F.col(c).alias(f"_of_{c}") for c in names], [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names]
+
+
+def _rows_of(df: DataFrame, key: Sequence[str], keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of the listed heavy keys, of which there are at most one for each ``max_rows`` rows."""
+    columns, same = _named(key)
+    return df.join(F.broadcast(keys.select(*columns)), same, how)
+
+
+def _cut_by(df: DataFrame, key: Sequence[str], first: str, found: DataFrame) -> DataFrame:
+    """Number the chunks of the keys of :func:`cuts`; other rows have none."""
+    most = found.agg(F.max(F.size("_cuts"))).first()[0]
+    columns, same = _named(key)
+    place = F.when(F.col("_cuts").isNotNull(), chunk_of(F.col(first), F.col("_cuts"), most).cast("long"))
+    joined = df.join(F.broadcast(found.select(*columns, "_cuts")), same, "left")
+    return joined.withColumn(CHUNK, place).drop("_cuts", *[f"_of_{c}" for c in key])
+
+
+def _cut_by_places(df: DataFrame, key: Sequence[str], order: Sequence[str], over: DataFrame, max_rows: int) -> DataFrame:
+    """Cut the listed keys every ``max_rows`` rows of their whole order; rows find their chunk by key and order together."""
     tuples = [*key, *order]
-    found = places(df, key, order).where(F.col("_rows") > max_rows)
-    chunk = F.floor((F.col("_rank") - 1) / max_rows).cast("long").alias(CHUNK)
-    found = found.select(*[F.col(c).alias(f"_of_{c}") for c in tuples], chunk)
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in tuples]
-    return df.join(found, same, "left").drop(*[f"_of_{c}" for c in tuples])
+    columns, same = _named(tuples)
+    chunk = F.floor((F.col("_rank") - 1) / max_rows).cast("long").alias("_part")
+    found = places(_rows_of(df.select(*tuples), key, over), key, order).select(*columns, chunk)
+    joined = df.join(found, same, "left").drop(*[f"_of_{c}" for c in tuples])
+    return joined.withColumn(CHUNK, F.coalesce("_part", CHUNK)).drop("_part")
 
 
 def has_chunks(df: DataFrame) -> bool:

@@ -12,7 +12,9 @@ from runledger.operators.best import (
 )
 from runledger.operators.chunks import MAX_ROWS, add_chunks
 from runledger.operators.quality import classify_failure, parse_quality
-from runledger.operators.spans import build_all, build_spans, iterations_of, rejected_starts, span_changes, track
+from runledger.operators.spans import (
+    DECIDING, build_all, build_spans, iteration_starts, iterations_of, rejected_starts, span_changes, track,
+)
 from runledger.plans.jobs import job_outcomes
 from runledger.plans.reports import accuracy_report, eval_file_paths, iteration_metadata, job_status, job_time
 from runledger.session import shared_dir, spread, stored
@@ -66,9 +68,9 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     return rows.selectExpr("CAST(user_id AS STRING) AS job_uuid", "event_id AS seq", f"{line} AS line", "event_type", "value")
 
 
-def _log_events(spark: SparkSession, sf: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def _log_events(spark: SparkSession, sf: str, max_rows: int = MAX_ROWS, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Typed events; heavy jobs are looked for among the lines, not after decoding."""
-    return decode_events(_chunked(run_log(spark, sf).select("job_uuid", "seq", "line"), max_rows))[0]
+    return decode_events(_chunked(run_log(spark, sf).select("job_uuid", "seq", "line"), max_rows), fields=fields)[0]
 
 
 def _chunked(lines: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -222,7 +224,7 @@ SELECT phase, event, reason, count(*) AS n FROM (
                             WHEN event <> 'start' AND held IS NULL THEN 'no_open_span' END AS reason FROM d)
 WHERE reason IS NOT NULL GROUP BY 1, 2, 3""")
 def log_orphans(spark, sf):
-    orphans = rejected_starts(track(_log_events(spark, sf), max_rows=None))
+    orphans = rejected_starts(track(_log_events(spark, sf, fields=DECIDING), max_rows=None))
     return orphans.groupBy("phase", "event", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -331,18 +333,17 @@ FROM r LEFT JOIN counted ON job = job_uuid GROUP BY 1""")
 def log_parse_quality(spark, sf):
     """Lines parsed and failed, and the iterations found; the lines are parsed once."""
     lines = _broken_log(spark, sf)
-    decoded = stored(decode_lines(lines), "decoded")
+    decoded = stored(decode_lines(lines, fields=DECIDING).drop("line"), "decoded")
     blank = lines.groupBy("job_uuid").agg(F.count_if(F.trim("line") == "").alias("blank"))
-    events = decoded.where(F.col("reason").isNull()).drop("line", "reason")
-    steps = iterations_of(build_spans(events)).where("step_type = 'iteration'")
-    return parse_quality(decoded, blank, steps.select(F.col("training_job_uuid").alias("job_uuid")), ["job_uuid"])
+    events = decoded.where(F.col("reason").isNull()).drop("reason")
+    return parse_quality(decoded, blank, iteration_starts(track(events)).select("job_uuid"), ["job_uuid"])
 
 
 @query("""
 SELECT CAST(user_id AS VARCHAR) AS job_uuid, event_id AS seq, 'not_json_object' AS reason
 FROM events WHERE event_type = 'error' AND value > 100""")
 def log_bad_lines(spark, sf):
-    return decode_events(_broken_log(spark, sf))[1].select("job_uuid", "seq", "reason")
+    return decode_events(_broken_log(spark, sf), fields=())[1].select("job_uuid", "seq", "reason")
 
 
 _NUMBERED_SQL = """SELECT CAST(user_id % 8 AS VARCHAR) AS job_uuid, event_id AS at,

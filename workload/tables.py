@@ -21,6 +21,7 @@ from runledger.session import shared_dir, spread, stored
 from runledger.sources.datasets import load_dataset
 from runledger.sources.objects import list_objects, sync_plan as missing_objects, transfer_plan
 from runledger.sources.requests import read_requests, sound_envelope, unwrap_request
+from runledger.plans.layers import folded_settings, read_layers
 from runledger.sources.store import append, change_table, create_tables, drop_tables, list_tables, sql as run_sql, write_folder
 from workload.registry import query, table
 
@@ -404,6 +405,54 @@ def written_configs(spark, sf):
     return written.select("task_type", "name", F.get_json_object("config", "$.project_name").alias("project"))
 
 
+@query("""
+WITH said AS (
+  SELECT c_custkey AS customer, place, unnest(['reward', 'model', 'note', 'own_' || place]) AS setting,
+         unnest(CASE place WHEN 0 THEN ['0.5', 'base', NULL, 'default'] WHEN 1 THEN [NULL, c_mktsegment, 'text', c_mktsegment]
+                           WHEN 2 THEN ['{"n":' || c_nationkey || '}', NULL, 'x', 'n' || c_nationkey]
+                           ELSE [NULL, 'c' || c_custkey, NULL, 'c' || c_custkey] END) AS value,
+         unnest(CASE place WHEN 0 THEN [true, true, true, true] WHEN 1 THEN [false, true, true, true]
+                           WHEN 2 THEN [true, false, c_nationkey % 2 = 0, true] ELSE [false, c_custkey % 3 = 0, c_custkey % 5 = 0, true] END) AS there
+  FROM customer, range(4) t(place) WHERE place < 3 OR c_custkey % 2 = 0)
+SELECT customer, setting, value, ['0_default', '1_segment', '2_nation', '3_customer'][place + 1] AS origin
+FROM (SELECT *, row_number() OVER (PARTITION BY customer, setting ORDER BY place DESC) AS n FROM said WHERE there) WHERE n = 1""")
+def layered_settings(spark, sf):
+    """Settings of customers from four layers of documents: default, segment, nation, and their own, which half of them have."""
+    customers, root = table(spark, sf, "customer"), shared_dir(spark, "layers")
+    nation = customers.select("c_nationkey").distinct()
+    layers = {
+        "0_default": customers.limit(1).selectExpr("'default' AS name", """'{"reward":0.5,"model":"base","note":null,"own_0":"default"}' AS value"""),
+        "1_segment": customers.select("c_mktsegment").distinct().selectExpr(
+            "c_mktsegment AS name", "to_json(map('model', c_mktsegment, 'note', 'text', 'own_1', c_mktsegment)) AS value"),
+        "2_nation": nation.selectExpr(
+            "CAST(c_nationkey AS STRING) AS name",
+            """concat('{"reward":{"n":', c_nationkey, '},', CASE WHEN c_nationkey % 2 = 0 THEN '"note":"x",' ELSE '' END, '"own_2":"n', c_nationkey, '"}') AS value"""),
+        "3_customer": customers.where("c_custkey % 2 = 0").selectExpr(
+            "CAST(c_custkey AS STRING) AS name",
+            """concat('{', CASE WHEN c_custkey % 3 = 0 THEN concat('"model":"c', c_custkey, '",') ELSE '' END,
+               CASE WHEN c_custkey % 5 = 0 THEN '"note":null,' ELSE '' END, '"own_3":"c', c_custkey, '"}') AS value"""),
+    }
+    for layer, documents in layers.items():
+        _write_documents(documents, f"{root}/{layer}")
+    names = {"0_default": F.lit("default"), "1_segment": F.col("c_mktsegment"), "2_nation": F.col("c_nationkey"), "3_customer": F.col("c_custkey")}
+    return folded_settings(customers, "c_custkey", names, read_layers(spark, root)).withColumnRenamed("c_custkey", "customer")
+
+
+def _write_documents(documents: DataFrame, folder: str) -> None:
+    """A file for each row, by the task that has it."""
+
+    def write(rows):
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path)
+        for row in rows:
+            with system.open_output_stream(f"{path}/{row.name}.json") as out:
+                out.write(row.value.encode())
+
+    documents.foreachPartition(write)
+
+
 @query("""
 SELECT c_mktsegment || '-' || c_nationkey AS run, c_mktsegment || ' ' || count(*) AS name
 FROM customer GROUP BY c_mktsegment, c_nationkey HAVING min(c_acctbal) < 0""")
