@@ -2,9 +2,9 @@
 
 Two contexts, the last id and the last two, each predict the id that followed last time, with a confidence.
 Confidences and whether the predictions agree choose the adaptive probabilities that mix the two predictions
-with the order-0 one: an adaptive distribution over classes of ids, even within a class. One step of a
-carry-less range coder tells which prediction holds or which class the id is of; a second one tells the id in
-its class. Every block starts anew, so any can be read by itself; blocks advance together, one id of
+with the order-0 one: an adaptive distribution over the ids that a block's frequent ids table holds, and over
+classes of all other ids, even within a class. One step of a carry-less range coder tells which prediction
+holds, which frequent id it is or which class it is of; only for a class a second one tells the id in it. Every block starts anew, so any can be read by itself; blocks advance together, one id of
 each at a time, as columns of arrays.
 """
 
@@ -27,7 +27,10 @@ LEAST = U(1 << 32)
 RATE, LOW, HIGH = 5, 1024, 62000
 #: Classes of ids: those under 16, and each doubling from there. Their shares follow their counts, every so many ids.
 CLASSES, CLASS_BITS, REFRESH = 13, 15, 32
-MAGIC = b"TOK1"
+#: Places of a block's table of frequent ids, each a symbol of order 0 beside the classes; an id has one place.
+FREQUENT = 51
+SYMBOLS = CLASSES + FREQUENT
+MAGIC = b"TOK2"
 HEADER = struct.Struct("<4sIIII")
 
 
@@ -38,6 +41,7 @@ class Damaged(ValueError):
 CLASS = np.array([(n >> 4).bit_length() for n in range(1 << 16)], np.int64)
 FIRST = np.array([0, *[1 << (n + 3) for n in range(1, CLASSES)]], np.int64)
 WIDTH = np.array([4, *range(4, CLASSES + 3)], np.int64)
+PLACE = (np.arange(1 << 16, dtype=np.int64) * 40503 >> 5) % FREQUENT
 
 
 class Model:
@@ -53,13 +57,14 @@ class Model:
         self.slots = np.zeros(lanes * (SLOTS1 + SLOTS2), np.int32)
         self.base = np.arange(lanes) * 32
         self.hits = np.concatenate((np.full(lanes * 32, 1 << 13, np.int32), np.full(lanes * 32, 1 << 14, np.int32)))
-        self.counts = np.full((lanes, CLASSES), 8, np.int32)
+        self.counts = np.full((lanes, SYMBOLS), 8, np.int32)
+        self.frequent, self.base0 = np.zeros(lanes * FREQUENT, np.int32), np.arange(lanes) * FREQUENT
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.row = np.arange(lanes) * (CLASSES + 1)
-        self.bounds = np.zeros((lanes, CLASSES + 1), np.int32)
+        self.row = np.arange(lanes) * (SYMBOLS + 1)
+        self.bounds = np.zeros((lanes, SYMBOLS + 1), np.int32)
 
     def refresh(self, n: int) -> None:
-        """Bounds of the classes by their counts so far; early counts weigh less."""
+        """Bounds of the symbols by their counts so far; early counts weigh less."""
         counts = self.counts[:n]
         total = np.cumsum(counts, axis=1)
         self.bounds[:n, 1:] = (total << CLASS_BITS) // total[:, -1:]
@@ -83,8 +88,13 @@ class Model:
         self.share1 *= ~self.agree
         self.others = self.p2 + self.share1
 
-    def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray, rest: np.ndarray, classes: np.ndarray) -> None:
-        """``rest`` are the blocks whose id neither prediction was, ``classes`` those ids' classes."""
+    def symbols(self, rest: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The symbol of each id in its block: its place among the frequent ones if it holds it, else its class."""
+        place = PLACE[ids]
+        return np.where((self.frequent[self.base0[rest] + place] & 0xFFFF) == ids, CLASSES + place, CLASS[ids])
+
+    def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray, rest: np.ndarray, symbols: np.ndarray) -> None:
+        """``rest`` are the blocks whose id neither prediction was, ``symbols`` those ids' symbols."""
         aim = np.where(np.concatenate((is1, is2)), HIGH, LOW)
         aim[:n] = np.where(is2 | self.agree, self.p1, aim[:n])  # one that was not asked stays
         self.hits[self.context] = self.chance + ((aim - self.chance) >> RATE)
@@ -93,19 +103,26 @@ class Model:
         kept = np.where(self.sure > 0, self.guess | (self.sure >> 1) << 16, both)
         self.slots[self.at] = np.where(hit, self.guess | np.minimum(self.sure + 1, 3) << 16, kept)
         if len(rest):
-            self.counts[rest, classes] += 24
+            self.counts[rest, symbols] += 24
+            own = ids[rest]
+            at = self.base0[rest] + PLACE[own]
+            held = self.frequent[at]
+            sure = held >> 16
+            # An id that comes again gets surer of its place; another one takes the place when that is used up.
+            kept = np.where(sure > 0, held - (1 << 16), own)
+            self.frequent[at] = np.where(symbols >= CLASSES, (held & 0xFFFF) | np.minimum(sure + 2, 15) << 16, kept)
         self.last2[:n] = self.last1[:n]
         self.last1[:n] = ids
 
-    def starts(self, rest: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Where classes begin in the total; each has one at least."""
+    def starts(self, rest: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Where symbols begin in the total; each has one at least."""
         others = self.others[rest]
-        bound = self.bounds.reshape(-1)[self.row[rest] + classes]
-        return others + (((1 << TOTAL_BITS) - others - CLASSES) * bound >> CLASS_BITS) + classes
+        bound = self.bounds.reshape(-1)[self.row[rest] + symbols]
+        return others + (((1 << TOTAL_BITS) - others - SYMBOLS) * bound >> CLASS_BITS) + symbols
 
     def all_starts(self, rest: np.ndarray) -> np.ndarray:
         others = self.others[rest][:, None]
-        return others + (((1 << TOTAL_BITS) - others - CLASSES) * self.bounds[rest] >> CLASS_BITS) + np.arange(CLASSES + 1)
+        return others + (((1 << TOTAL_BITS) - others - SYMBOLS) * self.bounds[rest] >> CLASS_BITS) + np.arange(SYMBOLS + 1)
 
 
 class Range:
@@ -165,18 +182,20 @@ def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         is1 = (model.guess1 == now) & ~is2
         start, share = np.where(is1, model.p2, 0), np.where(is1, model.share1, model.p2)
         rest = np.flatnonzero(~(is1 | is2))
-        classes = CLASS[now[rest]]
+        symbols = model.symbols(rest, now[rest])
         if len(rest):
-            begin = model.starts(rest, classes)
-            start[rest], share[rest] = begin, model.starts(rest, classes + 1) - begin
+            begin = model.starts(rest, symbols)
+            start[rest], share[rest] = begin, model.starts(rest, symbols + 1) - begin
         every = slice(0, n)
         coder.narrow(every, start, share, coder.range[every] >> U(TOTAL_BITS))
         coder.settle(every, shift)
-        if len(rest):
-            part = coder.range[rest] >> WIDTH[classes].astype(U)
-            coder.narrow(rest, now[rest] - FIRST[classes], np.ones(len(rest), np.int64), part)
-            coder.settle(rest, shift)
-        model.learn(n, now, is2, is1, rest, classes)
+        rare = symbols < CLASSES
+        if rare.any():
+            which, classes = rest[rare], symbols[rare]
+            part = coder.range[which] >> WIDTH[classes].astype(U)
+            coder.narrow(which, now[which] - FIRST[classes], np.ones(len(which), np.int64), part)
+            coder.settle(which, shift)
+        model.learn(n, now, is2, is1, rest, symbols)
     for _ in range(4):
         shift(np.arange(lanes), coder.low)
         coder.low = coder.low << U(EMIT)
@@ -213,24 +232,28 @@ def decode_lanes(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         now = np.where(is2, model.guess2, model.guess1).astype(np.int64)
         start, share = np.where(is1, model.p2, 0), np.where(is1, model.share1, model.p2)
         rest = np.flatnonzero(~(is1 | is2))
-        classes = np.zeros(0, np.int64)
+        symbols = np.zeros(0, np.int64)
         if len(rest):
             starts = model.all_starts(rest)
             row = np.arange(len(rest))
-            classes = (starts[:, 1:-1] <= value[rest][:, None]).sum(axis=1)
-            start[rest] = starts[row, classes]
-            share[rest] = starts[row, classes + 1] - starts[row, classes]
+            symbols = (starts[:, 1:-1] <= value[rest][:, None]).sum(axis=1)
+            start[rest] = starts[row, symbols]
+            share[rest] = starts[row, symbols + 1] - starts[row, symbols]
         coder.narrow(every, start, share, part)
         coder.settle(every, shift)
-        if len(rest):
+        often = rest[symbols >= CLASSES]
+        now[often] = model.frequent[model.base0[often] + symbols[symbols >= CLASSES] - CLASSES] & 0xFFFF
+        rare = symbols < CLASSES
+        if rare.any():
+            which, classes = rest[rare], symbols[rare]
             width = WIDTH[classes]
-            part = coder.range[rest] >> width.astype(U)
-            off = np.minimum(((code[rest] - coder.low[rest]) // part).astype(np.int64), (1 << width) - 1)
-            now[rest] = FIRST[classes] + off
-            coder.narrow(rest, off, np.ones(len(rest), np.int64), part)
-            coder.settle(rest, shift)
+            part = coder.range[which] >> width.astype(U)
+            off = np.minimum(((code[which] - coder.low[which]) // part).astype(np.int64), (1 << width) - 1)
+            now[which] = FIRST[classes] + off
+            coder.narrow(which, off, np.ones(len(which), np.int64), part)
+            coder.settle(which, shift)
         ids[step, :n] = now
-        model.learn(n, now, is2, is1, rest, classes)
+        model.learn(n, now, is2, is1, rest, symbols)
     return [ids[: sizes[lane], lane].astype(np.int64) for lane in range(lanes)]
 
 
