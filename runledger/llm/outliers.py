@@ -304,7 +304,7 @@ def judge(docs: DataFrame, core: float = CORE, rows: int = ROWS, reject: float =
     fit = measured.where("NOT base_failed")
     places = stored(cells(fit, rows), "cells")
     vectors = stored(fit.select("group", "x").join(places, "group").select("cell", "x"), "vectors")
-    enough = vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows).select("cell")
+    enough = stored(vectors.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows).select("cell"), "enough")
     models = places.join(estimate(vectors.join(enough, "cell", "left_semi"), core), "cell").drop("cell")
     y = F.array(*[F.get("x", F.lit(k)) - F.get("middle", F.lit(k)) for k in range(len(FLOORS))])
     judged = measured.join(models, "group", "left").withColumn("y", y)
