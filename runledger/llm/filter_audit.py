@@ -119,6 +119,7 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     judged = stored(judged, "judged")
     copied = judged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copied = stored(copied, "copied")  # read anew, so that Spark can split a text of very many copies in the join
     said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.bool_or(F.col("quality").eqNullSafe(1)).alias("good"), F.bool_or(F.col("toxic").eqNullSafe(1)).alias("toxic")
     )
