@@ -91,8 +91,9 @@ def drop_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     are dropped where they are read; only rows that may stay are shuffled.
     """
     heavy = stored(frequent(docs.select("doc_id", digest_of().alias("digest")), share), "frequent")
-    heavy = heavy.select(F.col("digest").alias("_heavy"), F.col("keep_id").alias("_keep"))
-    marked = docs.withColumn("_digest", digest_of()).join(F.broadcast(heavy), F.col("_digest") == F.col("_heavy"), "left")
-    may_stay = marked.where(F.col("_heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
-    newest = Window.partitionBy("_digest").orderBy(F.col("doc_id").desc_nulls_last())
-    return may_stay.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").select(*[f"`{c}`" for c in docs.columns])
+    heavy = heavy.select(F.col("digest").alias("heavy"), F.col("keep_id").alias("keep"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest_of().alias("digest"))  # own names clash with none
+    marked = whole.join(F.broadcast(heavy), F.col("digest") == F.col("heavy"), "left")
+    may_stay = marked.where(F.col("heavy").isNull() | F.col("id").eqNullSafe(F.col("keep"))).select("row", "id", "digest")
+    newest = Window.partitionBy("digest").orderBy(F.col("id").desc_nulls_last())
+    return may_stay.withColumn("nth", F.row_number().over(newest)).where("nth = 1").select("row.*")

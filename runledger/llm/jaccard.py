@@ -290,18 +290,20 @@ PUBLISHED = "sign long, key long, place int"
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node`` of each document; the same set has the same node, an empty one none."""
+    """``doc_id, digest, n_shingles, node`` of each document; the same set has the same node, an empty one none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in slices(batches):
-            found = [shingles(text, words) for text in batch.column(1).to_pylist()]
+            found = [shingles(text, words) for text in batch.column(2).to_pylist()]
             sizes, keys = list(map(len, found)), [key_of(f) if len(f) else None for f in found]
             words.clear() if len(words) > HELD else None
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "node"])
+            columns = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())]
+            yield pa.record_batch(columns, ["doc_id", "digest", "n_shingles", "node"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, node long")
+    texts = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("digest"), text_or_empty().alias("text"))
+    return texts.mapInArrow(run, f"doc_id {kind}, digest long, n_shingles long, node long")
 
 
 def publish_texts(docs: DataFrame, limit: int) -> DataFrame:
@@ -413,12 +415,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def link_groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``.
+    """One row for each row of ``docs``: ``doc_id, n_shingles, component_id``; see :func:`linked_rows`."""
+    return linked_rows(docs, limit).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, digest, n_shingles, component_id, component_digest``.
 
     Reads ``doc_id`` and ``text``. A text of fewer than five words has one n-gram, all of it; a null text, or
     one without words, has none and is linked with nothing. ``component_id`` is the smallest ``doc_id``
     reachable by links, equal sets being linked. Rows without a ``doc_id`` have no component and link
-    nothing; rows alike in ``doc_id`` count one by one and meet in their component's id. A key stands for its
+    nothing; rows alike in ``doc_id`` count one by one and meet in their component's id. ``digest`` is a hash of the
+    text, and ``component_digest`` the smallest one of the rows that bear ``component_id``. A key stands for its
     set by 61 bits of a hash, an n-gram by 64.
     """
     texts = docs.select("doc_id", "text")
@@ -469,18 +477,27 @@ def link_groups(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     groups = stored(connected(links.union(verified(across, sets))), "groups")
 
     placed_members = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed_members.where(F.col("doc_id").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    first = F.min(F.struct("doc_id", "digest"))
+    least = placed_members.where(F.col("doc_id").isNotNull()).groupBy("component").agg(first.alias("first"))
     in_groups = placed_members.where(F.col("node").isNotNull()).join(least, "component", "left")
-    alone = placed_members.where(F.col("node").isNull()).withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")]
+    alone = placed_members.where(F.col("node").isNull()).withColumn("first", F.struct("doc_id", "digest"))
+    has_id = F.col("doc_id").isNotNull()
+    columns = [
+        "doc_id", "digest", "n_shingles", F.when(has_id, F.col("first.doc_id")).alias("component_id"),
+        F.when(has_id, F.col("first.digest")).alias("component_digest"),
+    ]
     return in_groups.select(*columns).union(alone.select(*columns))
 
 
 def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component, all columns as they are.
+    """The rows of ``docs`` that are the first of their component, all columns as they are.
 
-    Rows without a ``doc_id`` and texts without words stay; rows alike in ``doc_id`` stay or go together.
+    The first has the smallest ``doc_id``, and of texts that share it the one of the smallest hash. Rows without a
+    ``doc_id`` and texts without words stay; rows alike in ``doc_id`` and text are one document and stay or go together.
     """
-    linked = link_groups(docs, limit)
-    dropped = stored(linked.where("component_id < doc_id").select("doc_id").distinct(), "dropped")
-    return docs.join(counted_side(dropped), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    first = F.struct(F.col("component_id").alias("doc_id"), F.col("component_digest").alias("digest"))
+    gone = linked_rows(docs, limit).where(first < F.struct("doc_id", "digest")).where("n_shingles > 0")
+    dropped = stored(gone.select(F.col("doc_id").alias("id"), F.col("digest").alias("hash")).distinct(), "dropped")
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text_or_empty()).alias("digest"))
+    same = (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("hash"))
+    return whole.join(counted_side(dropped), same, "left_anti").select("row.*")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runledger.llm.common import WORD, running_total
+from runledger.session import stored
 
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix holds, in percent, and the rounds over a source at most.
@@ -52,15 +53,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = P
     )
 
 
-def mix(
+def shares(
     docs: DataFrame, seed: str = "mix", weights: Sequence[int] = WEIGHTS, percent: int = PERCENT, rounds: int = ROUNDS
 ) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, size, source_size, target, copies``, the times the mix takes it.
-
-    ``size`` is the number of words; a null or blank text has none and adds nothing to the mix, but is taken
-    at its place. A null source is one of its own. Documents are shuffled by a digest of ``doc_id`` and
-    ``seed``, so reruns agree. Rows alike in ``doc_id`` count one by one. No row gives no row.
-    """
+    """``doc_id, source, size, source_size, target, n, rows``: how often the mix takes all ``rows`` alike in the first three together."""
     sized = docs.select("doc_id", "source", size_of().alias("size"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     ordered = running_total(sized.withColumn("_key", key), ["source", "_key", "doc_id", "size"], "size", "_total")
@@ -81,25 +77,49 @@ def mix(
     taken = queue.crossJoin(F.broadcast(budget)).withColumn("_in", (F.col("_used") <= F.col("_budget")).cast("long"))
     own = ["doc_id", "_source", "size", "source_size", "target"]
     # Rows alike in all of these share their rounds evenly: each is there as often as its first round.
-    counted = taken.groupBy(*own).agg(F.sum("_in").alias("_n"), F.sum((F.col("round") == 0).cast("long")).alias("_rows"))
-    numbers = F.sequence(F.lit(1).cast("long"), F.col("_rows"))
-    share = F.floor(F.col("_n") / F.col("_rows")) + (F.col("_nth") <= F.col("_n") % F.col("_rows")).cast("long")
-    return counted.select(*own, "_n", "_rows", F.explode(numbers).alias("_nth")).select(
-        "doc_id", F.col("_source").alias("source"), "size", "source_size", "target", share.alias("copies")
-    )
+    counted = taken.groupBy(*own).agg(F.sum("_in").alias("n"), F.sum((F.col("round") == 0).cast("long")).alias("rows"))
+    return counted.withColumnRenamed("_source", "source")
+
+
+def copies_of(nth: Column) -> Column:
+    """How often the ``nth`` of ``rows`` alike is taken."""
+    return F.floor(F.col("n") / F.col("rows")) + (nth <= F.col("n") % F.col("rows")).cast("long")
+
+
+def mix(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
+    """One row for each row of ``docs``: ``doc_id, source, size, source_size, target, copies``, the times the mix takes it.
+
+    ``size`` is the number of words; a null or blank text has none and adds nothing to the mix, but is taken
+    at its place. A null source is one of its own. Documents are shuffled by a digest of ``doc_id`` and
+    ``seed``, so reruns agree. Rows alike in ``doc_id`` count one by one. No row gives no row. ``how`` goes to
+    :func:`shares`.
+    """
+    numbered = shares(docs, seed, **how).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return numbered.select("doc_id", "source", "size", "source_size", "target", copies_of(F.col("nth")).alias("copies"))
 
 
 def take_mix(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns as they are.
 
-    Rows alike in ``doc_id`` take their copies by source and size. The texts are shuffled once.
+    Rows alike in ``doc_id``, source and size share their copies evenly, those of the smaller hash of their text first.
+    A null ``doc_id`` or source equals null only. The texts are shuffled once.
     """
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_name")
-    plan = mix(docs, seed, **how).select(name, F.struct("source", "size", "copies").alias("_plan"))
-    plan = plan.groupBy("_name").agg(F.sort_array(F.collect_list("_plan")).alias("_plans"))
-    row = F.row_number().over(Window.partitionBy("_name").orderBy("source", "_size"))
-    rows = docs.withColumn("_name", name).withColumn("_size", size_of()).withColumn("_row", row)
-    copies = F.get("_plans", F.col("_row") - 1)["copies"]
-    taken = rows.join(plan, "_name").withColumn("_copies", copies).where("_copies > 0")
-    columns = [f"`{c}`" for c in docs.columns]
-    return taken.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    whole = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), size_of().alias("words")
+    )  # own names clash with none
+    plan = stored(shares(docs, seed, **how).where("n > 0").select("doc_id", "source", "size", "n", "rows"), "plan")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("of").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    even, odd = plan.where("n % rows = 0"), plan.where("n % rows > 0")
+    taken = whole.join(even, same).select("row", copies_of(F.lit(1)).alias("copies"))
+    # Of rows alike some are taken once more than the others: numbered over the whole order, as one id may have very many.
+    alike = ["id", "of", "words"]
+    numbered = running_total(
+        whole.join(odd, same).withColumn("one", F.lit(1)).withColumn("hash", F.xxhash64(F.coalesce("row.text", F.lit("")))),
+        [*alike, "hash"], "one", "place",
+    )
+    firsts = stored(numbered.groupBy(*alike).agg(F.min("place").alias("first")), "firsts")
+    firsts = firsts.select(*[F.col(c).alias(f"its_{c}") for c in alike], "first")
+    of_group = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in alike]
+    rest = numbered.join(firsts, of_group).select("row", copies_of(F.col("place") - F.col("first") + 1).alias("copies"))
+    counted = taken.union(rest).where("copies > 0")
+    return counted.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
