@@ -13,7 +13,7 @@ def load_dataset(
 ) -> DataFrame:
     """Input text, outputs and optional reasoning of a CSV with a header, as strings.
 
-    Quoted cells may span lines, so a file is read in one piece; give a large dataset as many files.
+    Quoted cells may span lines, so a file is read in one piece by one task; give a large dataset as many files.
     """
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
     think = F.col(think_col) if think_col else F.lit(None).cast("string")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.operators.best import (
-    best_overall, eval_slots, iteration_metrics, job_metrics, update_iterations, update_jobs,
+    best_overall, eval_slots, iteration_metrics, job_metrics, update_iterations, update_jobs, with_iteration_metrics,
+    with_job_metrics,
 )
 from runledger.operators.chunks import MAX_ROWS, add_chunks
 from runledger.operators.quality import classify_failure, parse_quality
 from runledger.operators.spans import (
-    DECIDING, build_all, build_spans, iteration_starts, iterations_of, rejected_starts, span_changes, track,
+    DECIDING, build_all, build_spans, evals_of, iteration_starts, iterations_of, rejected_starts, span_changes, track,
 )
 from runledger.plans.jobs import job_outcomes
 from runledger.plans.reports import accuracy_report, eval_file_paths, iteration_metadata, job_status, job_time
@@ -43,12 +44,13 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
     rows = spread(table(spark, sf, "events")).selectExpr(
         "*", f"{_pick(0)} AS phase", f"{_pick(1)} AS event", "CAST(floor(value) AS INT) AS whole"
     )
-    start = "event = 'start'"
+    start, epoch_end = "event = 'start'", "phase = 'EPOCH_TRAIN' AND event = 'end'"
     config = f"""CASE WHEN {start} THEN to_json(named_struct(
         'no_iterations', CASE WHEN event_type <> 'error' THEN whole % 3 + 1 END,
         'runtime', named_struct('current_iteration', CASE WHEN event_type <> 'error' THEN whole % 7 + 1 END),
         'model_epoch', CASE WHEN event_type <> 'error' THEN whole % 5 + 1 END,
-        'dataset', CASE WHEN event_type = 'click' THEN 'train' WHEN event_type <> 'signup' THEN 'eval' END)) END"""
+        'dataset', CASE WHEN event_type = 'click' THEN 'train' WHEN event_type <> 'signup' THEN 'eval' END,
+        'training_name', CASE WHEN event_type <> 'click' THEN concat('t', whole) END)) END"""
     # A dataset given as null, which the struct above cannot hold.
     config = f"CASE WHEN event_type = 'purchase' THEN replace({config}, '\"dataset\":\"eval\"', '\"dataset\":null') ELSE {config} END"
     duration = """CASE event_type WHEN 'view' THEN '0' WHEN 'click' THEN CAST(value AS STRING)
@@ -59,8 +61,13 @@ def run_log(spark: SparkSession, sf: str) -> DataFrame:
         "config": config,
         "duration": f"CASE WHEN event = 'end' THEN {duration} END",
         "epoch": f"CASE WHEN phase = 'EPOCH_TRAIN' THEN {epoch} END",
-        "metrics": """CASE WHEN event = 'metrics' THEN
-            concat('{"answer_reward":{"percentage":', CAST(whole % 10 AS STRING), '}}') END""",
+        "metrics": f"""CASE WHEN event = 'metrics' THEN
+            concat('{{"answer_reward":{{"percentage":', CAST(whole % 10 AS STRING), '}}}}')
+            WHEN {epoch_end} AND event_type <> 'error' THEN concat('{{"loss":', whole, '}}') END""",
+        "model_path": f"""CASE WHEN event_type = 'view' THEN NULL WHEN {epoch_end} THEN concat('"e/', whole, '"')
+            WHEN phase = 'EVAL_MODEL' AND {start} THEN concat('"m/', whole, '"') END""",
+        "optimizer_path": f"CASE WHEN {epoch_end} AND event_type <> 'click' THEN concat('\"o/', whole, '\"') END",
+        "metrics_json_path": "CASE WHEN event = 'metrics' AND event_type <> 'view' THEN concat('\"p/', whole, '\"') END",
     }
     data = ", ".join(f"concat('\"{name}\":', {value})" for name, value in fields.items())
     line = f"""concat('{{"timestamp":"', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '","phase":"', phase, '","event":"',
@@ -133,21 +140,22 @@ d AS (
               WHEN phase = 'EVAL_MODEL' THEN o_eval IS NOT NULL ELSE true END AS allowed
   FROM c),
 ends AS (
-  SELECT job, phase, held, max(ts) AS end_ts, max_by(coalesce(duration, -1e9), seq) AS raw_duration
+  SELECT job, phase, held, max(ts) AS end_ts, max_by(coalesce(duration, -1e9), seq) AS raw_duration, max(seq) AS end_seq
   FROM d WHERE event = 'end' AND held IS NOT NULL GROUP BY 1, 2, 3),
 measures AS (
-  SELECT job, held, max_by(whole % 10, seq) AS score FROM d
+  SELECT job, held, max_by(whole % 10, seq) AS score, max_by(CASE WHEN event_type = 'view' THEN '' ELSE 'p/' || whole END, seq) AS data_path FROM d
   WHERE phase = 'EVAL_MODEL' AND event = 'metrics' AND held IS NOT NULL GROUP BY 1, 2),
 spans AS (
   SELECT s.job, s.phase, s.seq AS start_seq, s.ts AS start_ts, e.end_ts,
          coalesce(s.own, CASE WHEN s.phase IN ('PROJECT', 'GROUP_ITERATION', 'ITERATION') THEN NULL ELSE s.nr END) AS number,
          CASE s.phase WHEN 'EPOCH_TRAIN' THEN s.o_train WHEN 'EVAL_MODEL' THEN s.o_eval END AS parent_seq,
-         s.epoch, s.model_epoch, s.dataset, m.score,
+         s.epoch, s.model_epoch, s.dataset, m.score, m.data_path, s.event_type, s.whole, x.event_type AS end_type, x.whole AS end_whole,
          CASE WHEN e.end_ts IS NULL THEN NULL
               WHEN s.phase IN ('TRAINING', 'EPOCH_TRAIN', 'EVAL_MODEL') AND e.raw_duration BETWEEN 0 AND 1440 THEN e.raw_duration
               WHEN s.phase NOT IN ('TRAINING', 'EPOCH_TRAIN', 'EVAL_MODEL') AND e.raw_duration NOT IN (0, -1e9) THEN e.raw_duration
               ELSE greatest(0.0, (epoch_us(e.end_ts) - epoch_us(s.ts)) / 6e7) END AS minutes
   FROM d s LEFT JOIN ends e ON e.job = s.job AND e.phase = s.phase AND e.held = s.seq
+  LEFT JOIN d x ON x.job = e.job AND x.seq = e.end_seq
   LEFT JOIN measures m ON s.phase = 'EVAL_MODEL' AND m.job = s.job AND m.held = s.seq
   WHERE s.event = 'start' AND s.allowed)"""
 _STEP_SQL = """CASE phase WHEN 'PROJECT' THEN 'project' WHEN 'GROUP_ITERATION' THEN 'group_iteration'
@@ -193,22 +201,35 @@ def log_iterations_split(spark, sf):
 
 @query(_SPANS_SQL + f"""
 SELECT {_uuid_sql("phase", "start_seq")} AS uuid, {_uuid_sql("'TRAINING'", "parent_seq")} AS iteration_uuid, start_seq,
-       number AS iteration_number, epoch AS epoch_number, {_TIMES_SQL}
+       number AS iteration_number, epoch AS epoch_number, CASE WHEN end_type <> 'view' THEN 'e/' || end_whole END AS model_path,
+       CASE WHEN end_type <> 'click' THEN 'o/' || end_whole END AS optimizer_path,
+       CASE WHEN end_type = 'error' THEN '{{}}' ELSE '{{"loss":' || end_whole || '}}' END AS metrics, {_TIMES_SQL}
 FROM spans WHERE phase = 'EPOCH_TRAIN'""")
 def log_epochs(spark, sf):
     epochs = build_all(_log_events(spark, sf), max_rows=None)["epochs"]
-    return epochs.select("uuid", "iteration_uuid", "start_seq", "iteration_number", "epoch_number", *_times())
+    return epochs.select(
+        "uuid", "iteration_uuid", "start_seq", "iteration_number", "epoch_number", "model_path", "optimizer_path", "metrics", *_times()
+    )
 
 
 @query(_SPANS_SQL + f"""
 SELECT {_uuid_sql("phase", "start_seq")} AS uuid, {_uuid_sql("'EVAL_TRAINING'", "parent_seq")} AS iteration_uuid, start_seq,
        'iteration_' || coalesce(CAST(number AS VARCHAR), 'None') || '_epoch_' || coalesce(CAST(model_epoch AS VARCHAR), '')
-         AS model_id, dataset, CAST(score AS DOUBLE) AS score, {_TIMES_SQL}
+         AS model_id, dataset, CAST(score AS DOUBLE) AS score, '{{"answer_reward":{{"percentage":' || score || '}}}}' AS metrics,
+       data_path AS eval_data_path, '{{' || CASE WHEN event_type <> 'signup' THEN '"dataset":"' || dataset || '",' ELSE '' END
+         || CASE WHEN event_type = 'error' THEN '"runtime":{{}}' ELSE '"model_epoch":' || whole % 5 + 1 || ',"no_iterations":' || whole % 3 + 1
+                 || ',"runtime":{{"current_iteration":' || whole % 7 + 1 || '}}' END
+         || CASE WHEN event_type = 'click' THEN '' ELSE ',"training_name":"t' || whole || '"' END || '}}' AS config,
+       '{{"model_path":"' || CASE WHEN event_type = 'view' THEN '' ELSE 'm/' || whole END || '","training_name":"'
+         || CASE WHEN event_type = 'click' THEN '' ELSE 't' || whole END || '","model_epoch":"'
+         || CASE WHEN event_type = 'error' THEN '' ELSE CAST(whole % 5 + 1 AS VARCHAR) END || '"}}' AS eval_metadata, {_TIMES_SQL}
 FROM spans WHERE phase = 'EVAL_MODEL' AND dataset IS NOT NULL""")
 def log_evals(spark, sf):
     evals = build_all(_log_events(spark, sf), max_rows=None)["evals"]
     score = F.get_json_object("metrics", "$.answer_reward.percentage").cast("double").alias("score")
-    return evals.select("uuid", "iteration_uuid", "start_seq", "model_id", "dataset", score, *_times())
+    return evals.select(
+        "uuid", "iteration_uuid", "start_seq", "model_id", "dataset", score, "metrics", "eval_data_path", "config", "eval_metadata", *_times()
+    )
 
 
 @query(_SPANS_SQL + """
@@ -350,12 +371,14 @@ _NUMBERED_SQL = """SELECT CAST(user_id % 8 AS VARCHAR) AS job_uuid, event_id AS
        row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS seq FROM events"""
 
 
-def _log_files(spark: SparkSession, sf: str) -> str:
-    """Logs written as text, one file per group of users; each line begins with its event's number."""
+def _log_files(spark: SparkSession, sf: str, one_each: bool = False) -> str:
+    """Logs written as text, by group of users, in files that follow each other; each line begins with its event's number."""
     root = shared_dir(spark, "logs")
     lines = run_log(spark, sf).withColumn("job", F.pmod(F.col("job_uuid").cast("long"), F.lit(8)))
     text = F.concat_ws("\t", F.lpad(F.col("seq").cast("string"), 19, "0"), "line").alias("value")
-    lines.select("job", text).repartition(8, "job").sortWithinPartitions("job", "value").write.partitionBy("job").text(root)
+    lines, parts = lines.select("job", text), 2 * spark.sparkContext.defaultParallelism
+    dealt = lines.repartition("job") if one_each else lines.repartitionByRange(parts, "job", "value")
+    dealt.sortWithinPartitions("job", "value").write.partitionBy("job").text(root)  # names of files ascend with the ranges
     return root
 
 
@@ -386,7 +409,7 @@ def log_files_split(spark, sf):
 @query(f"SELECT * FROM ({_NUMBERED_SQL}) WHERE job_uuid = '0'")
 def first_log_file(spark, sf):
     """Of all files that match, only the first one's lines."""
-    return _numbered(spark, f"{_log_files(spark, sf)}/job=*", first_match=True)
+    return _numbered(spark, f"{_log_files(spark, sf, one_each=True)}/job=*", first_match=True)
 
 
 # Jobs, steps and results from orders and their lines: a line is an iteration with two evaluations.
@@ -497,14 +520,14 @@ def metrics_or_error(spark, sf):
 
 
 def _finished(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Jobs and ITERATION rows with their metrics stored."""
+    """Jobs and ITERATION rows with their metrics."""
     steps = _steps(spark, sf)
     jobs = _jobs(spark, sf)
-    per_iteration = iteration_metrics(steps, _results(steps))
-    return update_jobs(jobs, job_metrics(jobs, steps, per_iteration)), update_iterations(steps, per_iteration)
+    per_iteration = stored(iteration_metrics(steps, _results(steps)), "metrics")
+    return with_job_metrics(jobs, job_metrics(jobs, steps, per_iteration)), with_iteration_metrics(steps, per_iteration)
 
 
-@query(_BEST_SQL + """,
+_CURVES_SQL = _BEST_SQL + """,
 curve AS (
   SELECT l.job, string_agg(coalesce(CAST(f.eval_accuracy AS VARCHAR), '-'), ',' ORDER BY l.nr, l.line_seq) AS eval_curve,
          string_agg(coalesce(CAST(f.train_accuracy AS VARCHAR), '-'), ',' ORDER BY l.nr, l.line_seq) AS train_curve, count(*) AS n
@@ -522,10 +545,16 @@ SELECT job AS job_uuid, 0 AS page, CAST(CASE WHEN ok THEN n ELSE 0 END AS INTEGE
        CASE WHEN status <> 'completed' THEN 'Job is not completed. Current status: ' || status
             WHEN NOT ok THEN 'Job has no metrics populated in metadata'
             WHEN n = 0 THEN 'No iterations found for this job' ELSE 'Accuracy metrics retrieved successfully' END AS message
-FROM g""")
+FROM g"""
+
+
+@query(_CURVES_SQL)
 def accuracy_curves(spark, sf):
     jobs, steps = _finished(spark, sf)
-    report = accuracy_report(jobs, steps)
+    return _curves(accuracy_report(jobs, steps))
+
+
+def _curves(report: DataFrame) -> DataFrame:
     curves = [
         F.array_join(F.col(c).cast("array<string>"), ",", "-").alias(name)
         for c, name in (("eval_accuracies", "eval_curve"), ("train_accuracies", "train_curve"))
@@ -535,6 +564,42 @@ def accuracy_curves(spark, sf):
     )
 
 
+def _evaluation_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Log lines of the same steps and results: a line of an order is an iteration with its evaluations."""
+
+    def event(phase: str, name: str, data: str) -> str:
+        return f"named_struct('phase', '{phase}', 'event', '{name}', 'data', {data})"
+
+    def step(dataset: str, scores: list[str]) -> str:
+        told = [event("EVAL_TRAINING", "start", f"""'{{"config":{{"dataset":"{dataset}"}}}}'""")]
+        for epoch, score in enumerate(scores, 1):
+            told.append(event("EVAL_MODEL", "start", f"""'{{"config":{{"dataset":"{dataset}","model_epoch":{epoch}}}}}'"""))
+            told.append(event("EVAL_MODEL", "metrics", f"""concat('{{"metrics":{{"answer_reward":{{"percentage":', {score}, '}}}}}}')"""))
+        return f"array({', '.join(told)})"
+
+    tax, discount = "CAST(round(l_tax * 100) AS INT)", "CAST(round(l_discount * 100) AS INT)"
+    evaluated, trained = step("eval", [tax, f"CASE WHEN l_tax <> 0 THEN {tax} END"]), step("train", [f"{discount} + 1", f"{discount} + 2"])
+    begin = event("ITERATION", "start", """concat('{"config":{"runtime":{"current_iteration":', l_linenumber, '}}}')""")
+    end = event("ITERATION", "end", "'{}'")
+    events = f"concat(array({begin}), {evaluated}, CASE WHEN l_discount <> 0 THEN {trained} ELSE slice({evaluated}, 1, 0) END, array({end}))"
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
+    placed = lines.selectExpr("CAST(l_orderkey AS STRING) AS job_uuid", f"{_SEQ} AS line_seq", "l_shipdate", f"posexplode({events}) AS (place, e)")
+    return placed.where("e.data IS NOT NULL").selectExpr(
+        "job_uuid", "line_seq * 16 + place AS seq",
+        """concat('{"timestamp":"', date_format(l_shipdate, 'yyyy-MM-dd'), ' 00:00:00","phase":"', e.phase, '","event":"', e.event, '","data":', e.data, '}') AS line""",
+    )
+
+
+@query(f"SELECT * EXCLUDE (best_eval_uuid) FROM ({_CURVES_SQL})")
+def log_to_accuracy_curves(spark, sf):
+    """From the lines of the logs to spans, best models and the accuracy report, in one run."""
+    spans = stored(build_spans(decode_events(_chunked(_evaluation_log(spark, sf)))[0], max_rows=None), "spans")
+    steps, jobs = iterations_of(spans), _jobs(spark, sf)
+    per_iteration = stored(iteration_metrics(steps, evals_of(spans)), "metrics")
+    jobs = with_job_metrics(jobs, job_metrics(jobs, steps, per_iteration))
+    return _curves(accuracy_report(jobs, with_iteration_metrics(steps, per_iteration))).drop("best_eval_uuid")
+
+
 @query(_BEST_SQL + """,
 j AS (SELECT CAST(o_orderkey AS VARCHAR) AS job, CAST(o_custkey AS VARCHAR) AS project,
              CASE WHEN o_orderpriority = '5-LOW' THEN 'unknown_project' ELSE o_orderpriority END AS name FROM orders),
