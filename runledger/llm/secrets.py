@@ -102,8 +102,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
 def train_both(docs: DataFrame, found: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """The models' difference, from the strings of at most ``sample`` documents each; None without secrets.
 
-    The documents are those of the smallest hashes of ``doc_id``. A document's strings are counted where it
-    is; only pair counts reach the driver.
+    The documents are those of the smallest hashes of ``doc_id``, then of the smallest id and strings, so that a rerun
+    takes the same. A document's strings are counted where it is; only pair counts reach the driver.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +132,10 @@ def train_both(docs: DataFrame, found: DataFrame, sample: int = SAMPLE) -> np.nd
         return counts.reshape(128, 128)
 
     order = F.xxhash64("doc_id")
-    random = counted(found.where(F.size("values") > 0).select("doc_id", "values").orderBy(order).limit(sample).select("values"))
+    random = counted(found.where(F.size("values") > 0).select("doc_id", "values").orderBy(order, "doc_id", "values").limit(sample).select("values"))
     if not random.any():
         return None
-    ids = docs.select("doc_id").orderBy(order).limit(sample).select(F.col("doc_id").alias("_id")).distinct()
+    ids = docs.select("doc_id").orderBy(order, "doc_id").limit(sample).select(F.col("doc_id").alias("_id")).distinct()
     texts = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(text_or_empty().alias("text"))
     plain = counted(texts.mapInArrow(ordinary, "strings array<string>"))
     return log_chances(random) - log_chances(plain)
