@@ -52,6 +52,8 @@ def places(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame
 SKETCHED = (NumericType, DateType, TimestampType, TimestampNTZType)
 #: Chunks are aimed at this part of ``max_rows``, and the sketch errs by so many parts of a chunk.
 FILLED, FINE = 0.5, 20
+#: Chunks that a sketch is asked for at most; a key that needs more is cut by places.
+MOST = 4096
 
 
 def cuts(rows: DataFrame, key: Sequence[str], first: str, heavy: DataFrame, max_rows: int) -> DataFrame:
@@ -61,7 +63,7 @@ def cuts(rows: DataFrame, key: Sequence[str], first: str, heavy: DataFrame, max_
     lighter key takes every so many-th value of it. In all there are about 2 values for each ``max_rows`` rows.
     """
     most = heavy.agg(F.max("_rows")).first()[0]
-    parts = max(2, math.ceil(most / (FILLED * max_rows)))
+    parts = min(MOST, max(2, math.ceil(most / (FILLED * max_rows))))
     grid = [n / parts for n in range(1, parts)]
     sketched = rows.groupBy(*key).agg(F.percentile_approx(first, grid, min(FINE * parts, 2**31 - 1)).alias("_grid"), F.count(F.lit(1)).alias("_rows"))
     step = F.greatest(F.lit(1), F.floor(F.lit(FILLED * max_rows * parts) / F.col("_rows"))).cast("int")
@@ -91,9 +93,9 @@ def add_chunks(df: DataFrame, key: Sequence[str], order: str | Sequence[str], ma
     order column has no quantiles.
     """
     order = [order] if isinstance(order, str) else list(order)
-    heavy = stored(heavy_keys(df, key, max_rows), "heavy")
-    if heavy.isEmpty():
+    if heavy_keys(df, key, max_rows).isEmpty():
         return df
+    heavy = stored(heavy_keys(df, key, max_rows), "heavy")
     over, cut = heavy, df.withColumn(CHUNK, F.lit(None).cast("long"))
     if isinstance(df.schema[order[0]].dataType, SKETCHED):
         # A heavy key has more than max_rows rows, so there are at most rows / max_rows of them, and twice as many values.

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runledger.session import unused
+
 # Fixed value: a score has to be above this to win.
 SCORE_FLOOR = -1.0
 #: Rows per key that Spark limits before the exchange by default, and the slices of a key beyond that.
@@ -19,12 +21,13 @@ LIMITED, SLICES = 1000, 64
 
 
 def first_rows(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
+    place = unused(df, "_rank")
     if n > LIMITED:
         slice_ = F.pmod(F.xxhash64(*df.columns), F.lit(SLICES))
         part = F.row_number().over(Window.partitionBy(*key, slice_).orderBy(*order))
-        df = df.withColumn("_rank", part).where(F.col("_rank") <= n).drop("_rank")
+        df = df.withColumn(place, part).where(F.col(place) <= n).drop(place)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    return df.withColumn(place, rank).where(F.col(place) <= n).drop(place)
 
 
 def argmax_first(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators.ranking import last_wins
+from runledger.session import unused
 
 
 def where_eq(df: DataFrame, **equal: object) -> DataFrame:
@@ -68,11 +69,11 @@ def update_rows(table: DataFrame, changes: DataFrame, key: Sequence[str], seq: s
     ``changes`` carries the key, ``seq`` and the columns to set; keys not in the table are ignored.
     """
     names = [c for c in changes.columns if c not in (*key, seq)]
-    latest = last_wins(changes, key, [seq])
-    update = latest.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in names])
+    new = unused(table, "_new")
+    update = last_wins(changes, key, [seq]).select(*key, F.struct(F.lit(True).alias("hit"), *names).alias(new))
     joined = table.join(update, list(key), "left")
     return joined.select(
-        *[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c)
+        *[F.when(F.col(f"{new}.hit"), F.col(f"{new}.{c}")).otherwise(F.col(c)).alias(c) if c in names else F.col(c)
           for c in table.columns]
     )
 

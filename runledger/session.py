@@ -91,3 +91,11 @@ def compute_once(df: DataFrame, keep: list[str] | None = None, **columns: Column
     """
     row = F.struct(*[value.alias(name) for name, value in columns.items()])
     return df.select(*(keep or ["*"]), F.inline(F.array(row)))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

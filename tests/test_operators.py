@@ -12,7 +12,7 @@ from runledger.functions.times import minutes_between, or_minutes, parse_local_t
 from runledger.operators.best import iteration_metrics, job_metrics, update_iterations, update_jobs
 from runledger.operators.catalog import cheapest
 from runledger.operators.chunks import CHUNK, add_chunks, paged_arrays
-from runledger.operators.ranking import argmax_first, first_rows, tail_rows
+from runledger.operators.ranking import argmax_first, first_rows, last_wins, tail_rows
 from runledger.operators.tables import attached, get_one, layered, update_rows, where_eq
 from runledger.plans.config import derive_config, task_configs, validate_requests
 from runledger.plans.jobs import apply_transitions
@@ -64,6 +64,30 @@ def test_payload(spark):
     assert values(df, reward_pct(F.col("m"))) == [(0.5,), (None,)]
 
 
+def test_foreign_columns_keep_their_names_and_values(spark):
+    rows = spark.createDataFrame([(1, 5, "r", "n", "h"), (1, 6, "r", "n", "h"), (2, 7, "r", "n", "h")], "k int, v int, _rank string, _new string, _hit string")
+    assert sorted(map(tuple, last_wins(rows, ["k"], ["v"]).collect())) == [(1, 6, "r", "n", "h"), (2, 7, "r", "n", "h")]
+    changes = spark.createDataFrame([(1, 50, 1), (1, 51, 2)], "k int, v int, seq int")
+    got = update_rows(rows, changes, ["k"], "seq")
+    assert got.columns == rows.columns
+    assert sorted(map(tuple, got.collect())) == [(1, 51, "r", "n", "h")] * 2 + [(2, 7, "r", "n", "h")]
+    assert sorted(r.v for r in tail_rows(rows, ["k"], ["v"], 2000).collect()) == [5, 6, 7]
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "date", "timestamp", "string"])
+def test_chunks_by_any_order_column(spark, kind):
+    value = {"date": "date_add(DATE'2024-01-01', CAST(id AS INT))", "timestamp": "timestamp_seconds(id * 3600)", "string": "lpad(CAST(id AS STRING), 6, '0')"}
+    rows = spark.range(900).selectExpr("CASE WHEN id < 600 THEN 'hot' WHEN id < 620 THEN 'light' END AS k", f"{value.get(kind, f'CAST(id AS {kind})')} AS v")
+    rows = rows.unionByName(spark.createDataFrame([("hot", None)], f"k string, v {kind}"))
+    cut = add_chunks(rows, ["k"], "v", 50)
+    sizes = cut.where(f"{CHUNK} IS NOT NULL").groupBy("k", CHUNK).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    sizes = sizes.orderBy("k", CHUNK).collect()
+    assert {r.k for r in sizes} == {"hot", None} and sum(r.n for r in sizes) == 881 and max(r.n for r in sizes) <= 50
+    for k in ("hot", None):
+        own = [r for r in sizes if r.k == k and r.low is not None]
+        assert all(x.high < y.low for x, y in zip(own, own[1:]))
+
+
 def test_chunks_cover_a_heavy_key_in_order(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), "id")
     cut = add_chunks(df, ["k"], "id", 100)
