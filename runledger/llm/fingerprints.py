@@ -154,7 +154,8 @@ def compare_with_next(docs: DataFrame, rare: int = RARE, common: int = COMMON) -
 
     Returns ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next`` with
     ``edited`` the edited text's SHA-256. The next document is that of the next smaller ``doc_id``, the
-    first after the last; a null ``doc_id`` comes last, and rows alike in ``doc_id`` follow in any order.
+    first after the last; a null ``doc_id`` comes last, and rows alike in ``doc_id`` follow in any order. A null text counts
+    as empty, other columns are not read, and no row gives none.
 
     Texts are dealt out once, compressed, in ranges of ``doc_id``. A task pairs its own neighbours; its last
     row waits for the next task's first one, and these few rows, two for each task, are joined.

@@ -254,7 +254,9 @@ def keep_identified(docs: DataFrame, least: float = LEAST, path: str = VOCABULAR
 
     Texts that get ``und`` go, and so do those that any piece being as likely as any other explains better
     than the best language does: other languages and gibberish. The score tells learned languages apart
-    only and is near 1 beyond a few words, so a mixture of them stays unless it fails the second test. Rows are judged where they are read; nothing is shuffled.
+    only and is near 1 beyond a few words, so a mixture of them stays unless it fails the second test. Rows are judged
+    where they are read; nothing is shuffled. A null text goes; rows that repeat, or have a null ``doc_id`` or a
+    null ``lang``, fare as their text does. No row gives none, and where nothing can be learned none stays.
     """
     models = docs.sparkSession.sparkContext.broadcast(learn(docs, path, sample))
     place = docs.columns.index("text")
