@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,13 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
 
 
 def get_session(app: str = "runledger", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings above; a cluster supplies master and sizes itself."""
+    """Session with the settings above; a cluster supplies master and sizes itself.
+
+    Python workers of a session that starts here find this package whatever folder they start in.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *paths]))
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

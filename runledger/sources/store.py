@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from runledger.schemas import TABLES
-from runledger.session import stored
 
 
 def create_tables(spark: SparkSession, database: str = "default") -> list[str]:
@@ -63,7 +62,8 @@ def change_table(
 ) -> int:
     """Change a table partitioned by ``part`` where it has, or is to have, rows of ``keys``; return the rows written.
 
-    ``keys`` are the changed keys, with ``part`` where a change adds or moves rows; a null key matches none.
+    ``keys`` are the changed keys, with ``part`` where a change adds or moves rows; a null key matches none, and rows that
+    end up in a partition that ``keys`` do not tell are an error.
     ``change`` gets the rows of the partitions concerned. Its result is written to a new folder, and when all of it
     is there each partition is pointed at its own share; others are neither read in full nor touched, and no
     session setting matters. A partition that ends up empty is dropped. Null is a partition like any other,
@@ -84,22 +84,28 @@ def change_table(
         concerned = concerned.union(found) if concerned else found
     wanted = {r.text: r.value for r in concerned.distinct().select("value", text).collect()}  # a row for each partition
     held = F.coalesce(F.col(part).isin([v for v in wanted.values() if v is not None]), F.lit(None in wanted))
-    changed = stored(change(rows.where(held).select(*rows.columns)).select(F.struct(*names).alias("row"), value), "changed")
-    found = changed.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select("value", text, "n").collect()
+    changed = change(rows.where(held).select(*rows.columns)).select(F.struct(*names).alias("row"), value)
     version = uuid.uuid4().hex
     folder, slot = f"{location(spark, table).rstrip('/')}/_{version}", f"slot_{version}"
     # Each partition's rows in a folder by its own number, whatever characters its value has.
     schema = StructType([StructField("of", kind), StructField(slot, IntegerType())])
-    numbered = spark.createDataFrame([(r.value, n) for n, r in enumerate(found)], schema)
-    placed = changed.join(numbered, F.col("value").eqNullSafe(F.col("of"))).select("row.*", slot)
+    numbered = spark.createDataFrame([(v, n) for n, v in enumerate(wanted.values())], schema)
+    placed = changed.join(numbered, F.col("value").eqNullSafe(F.col("of")), "left").select("row.*", F.coalesce(slot, F.lit(-1)).alias(slot))
     placed.hint("rebalance", slot).write.partitionBy(slot).parquet(folder)
-    for n, r in enumerate(found):
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (`{part}` = {_literal(r.text)}) LOCATION '{folder}/{slot}={n}'")
-        spark.sql(f"ALTER TABLE {table} PARTITION (`{part}` = {_literal(r.text)}) SET LOCATION '{folder}/{slot}={n}'")
-    for emptied in wanted.keys() - {r.text for r in found}:
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{part}` = {_literal(emptied)})")
+    written = StructType([*[f for f in rows.schema if f.name != part], StructField(slot, IntegerType())])
+    found = {r[0]: r[1] for r in spark.read.schema(written).parquet(folder).groupBy(slot).count().collect()}
+    if -1 in found:
+        raise ValueError(f"{found[-1]} rows are in partitions that the keys do not tell")
+    for n, text_ in enumerate(wanted):
+        spec = f"PARTITION (`{part}` = {_literal(text_)})"
+        if n in found:
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {spec} LOCATION '{folder}/{slot}={n}'")
+            spark.sql(f"ALTER TABLE {table} {spec} SET LOCATION '{folder}/{slot}={n}'")
+    for n, text_ in enumerate(wanted):
+        if n not in found:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (`{part}` = {_literal(text_)})")
     spark.catalog.refreshTable(table)
-    return sum(r.n for r in found)
+    return sum(found.values())
 
 
 def _literal(text: str | None) -> str:

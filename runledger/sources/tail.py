@@ -25,7 +25,7 @@ BLOCK = 1 << 20
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Lines of ``file`` that begin at ``low`` or later and before ``high``; ``first`` says that one begins at ``low``."""
 
     file: str
@@ -34,6 +34,25 @@ class Range(InputPartition):
     first: bool
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads: part of a file, or many small files."""
+
+    ranges: list[Range]
+
+
+def packed(ranges: list[Range], size: int) -> list[Ranges]:
+    """Ranges in order, as many to a task as ``size`` bytes hold."""
+    tasks, held = [], 0
+    for part in ranges:
+        if not tasks or held + part.high - part.low > size:
+            tasks.append(Ranges([]))
+            held = 0
+        tasks[-1].ranges.append(part)
+        held += part.high - part.low
+    return tasks
+
+
 def whole_lines(size: int, read, done: int) -> int:
     """Bytes up to the last line break after ``done``, looked for from the end."""
     high = size
@@ -73,8 +92,8 @@ def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
 class TailReader(DataSourceStreamReader):
     """Reads what files below a folder, whose names match, have grown by."""
 
-    def __init__(self, path: str, pattern: str, split: int):
-        self.path, self.pattern, self.split = path, re.compile(pattern), split
+    def __init__(self, path: str, pattern: str, split: int, tasks: int = 1):
+        self.path, self.pattern, self.split, self.tasks = path, re.compile(pattern), split, tasks
         self.known: dict[str, int] = {}
 
     def files(self) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
@@ -95,26 +114,26 @@ class TailReader(DataSourceStreamReader):
                     self.known[info.path] = whole_lines(info.size, lambda low, n, h=handle: h.read_at(n, low), done)
         return dict(self.known)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        """Byte ranges of at most ``split`` bytes, small ones together, for ``tasks`` tasks if there is that much."""
         self.known = {f: max(n, end.get(f, 0)) for f, n in {**end, **self.known}.items()}  # after a restart, what is planned is known
-        ranges = []
-        for file, high in sorted(end.items()):
-            low = start.get(file, 0)
-            ranges += [Range(file, at, min(at + self.split, high), at == low) for at in range(low, high, self.split)]
-        return ranges
+        grown = sorted((file, start.get(file, 0), high) for file, high in end.items() if high > start.get(file, 0))
+        size = max(1, min(self.split, -(-sum(high - low for _, low, high in grown) // self.tasks)))
+        return packed([Range(f, at, min(at + size, high), at == low) for f, low, high in grown for at in range(low, high, size)], size)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(self.path)
-        with system.open_input_file(partition.file) as handle:
-            rows, size = [], 0
-            for at, line in lines_of(handle, partition.low, partition.high, partition.first):
-                rows.append((partition.file, at, line.decode("utf-8", "replace").removesuffix("\r")))
-                size += len(line)
-                if len(rows) == 10_000 or size > 4 << 20:
-                    yield _batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows)
+        rows, size = [], 0
+        for part in partition.ranges:
+            with system.open_input_file(part.file) as handle:
+                for at, line in lines_of(handle, part.low, part.high, part.first):
+                    rows.append((part.file, at, line.decode("utf-8", "replace").removesuffix("\r")))
+                    size += len(line)
+                    if len(rows) == 10_000 or size > 4 << 20:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     def commit(self, end: dict) -> None:
         pass
@@ -124,7 +143,7 @@ class TailReader(DataSourceStreamReader):
 
 
 class GrowingLogs(DataSource):
-    """``spark.readStream.format("growing_logs")`` with the options ``path``, ``pattern`` and ``split``."""
+    """``spark.readStream.format("growing_logs")`` with the options ``path``, ``pattern``, ``split`` and ``tasks``."""
 
     @classmethod
     def name(cls) -> str:
@@ -134,7 +153,8 @@ class GrowingLogs(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], self.options.get("pattern", "."), int(self.options.get("split", SPLIT)))
+        options = self.options
+        return TailReader(options["path"], options.get("pattern", "."), int(options.get("split", SPLIT)), int(options.get("tasks", 1)))
 
 
 def tail_lines(spark: SparkSession, path: str, pattern: str = r"\.json$", split: int = SPLIT) -> DataFrame:
@@ -145,4 +165,5 @@ def tail_lines(spark: SparkSession, path: str, pattern: str = r"\.json$", split:
     and added, not changed or cut. A restart goes on at the checkpoint's offset.
     """
     spark.dataSource.register(GrowingLogs)
-    return spark.readStream.format("growing_logs").option("path", path).option("pattern", pattern).option("split", str(split)).load()
+    reader = spark.readStream.format("growing_logs").option("path", path).option("pattern", pattern).option("split", str(split))
+    return reader.option("tasks", str(spark.sparkContext.defaultParallelism)).load()

@@ -104,13 +104,14 @@ def read_all(reader, start, end):
     return [row for p in reader.partitions(start, end) for b in reader.read(p) for row in zip(*b.to_pydict().values())]
 
 
+@pytest.mark.parametrize("tasks", [1, 5, 1000])
 @pytest.mark.parametrize("split", [1, 2, 3, 7, 1000])
-def test_ranges_hold_each_line_once(tmp_path, split):
+def test_ranges_hold_each_line_once(tmp_path, split, tasks):
     text = "a\n\nbcd é\n" + "x" * 50 + "\r\nlast\n"
     for job, more in (("p", ""), ("q", "half")):
         grow(tmp_path, job, text + more)
     grow(tmp_path, "r", "no end yet")
-    reader = TailReader(str(tmp_path), r"\.json$", split)
+    reader = TailReader(str(tmp_path), r"\.json$", split, tasks)
     end = reader.latestOffset()
     size = len(text.encode())
     assert end == {str(tmp_path / "p/log.json"): size, str(tmp_path / "q/log.json"): size, str(tmp_path / "r/log.json"): 0}
@@ -123,6 +124,15 @@ def test_ranges_hold_each_line_once(tmp_path, split):
     assert reader.partitions(later, later) == []
 
 
+def test_small_files_share_a_task(tmp_path):
+    for n in range(300):
+        grow(tmp_path, f"j{n}", "line one\nline two\n")
+    reader = TailReader(str(tmp_path), r"\.json$", 1 << 20, 8)
+    end = reader.latestOffset()
+    assert 8 <= len(reader.partitions({}, end)) <= 16
+    assert len(read_all(reader, {}, end)) == 600
+
+
 def test_the_end_of_the_last_whole_line_is_found_block_by_block():
     for text in (b"", b"\n", b"abc", b"abc\ndef", b"abc\n" + b"y" * 200_000, b"y" * 200_000 + b"\n"):
         got = whole_lines(len(text), lambda low, n, t=text: t[low : low + n], 0)
