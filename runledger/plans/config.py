@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runledger.functions.names import basename, config_path, data_path, media_path, run_prefix
 from runledger.functions.payload import is_present, json_default, text_at
 from runledger.operators.tables import layered
-from runledger.session import compute_once
+from runledger.session import compute_once, setting
 
 _R1_DISTILL = "deepseek-ai/DeepSeek-R1-Distill-Qwen-1.5B"
 _QWEN_2B = "Qwen/Qwen2-VL-2B-Instruct"
@@ -76,6 +76,8 @@ NUMBERS = (
 BLOCKS = ("project", "prompt", "train_dataset", "eval_dataset")
 FAILING = "Invalid data: '{}' key is missing or empty"
 DEFAULT_TASK = "text_classification"
+#: Files that a task writing configurations keeps open, one for a task type.
+WRITERS = 32
 
 
 def _map(entries: dict[str, str]) -> Column:
@@ -178,10 +180,16 @@ def derive_config(
 
 
 def write_configs(configs: DataFrame, stem: str, path: str) -> None:
-    """One JSON document per configuration, in a folder per task type, named by task and request."""
+    """One JSON document per configuration, in a folder per task type, named by task and request.
+
+    A task keeps a file open for each of up to ``WRITERS`` task types, so that it need not hold and sort its rows by
+    type; only rows of further types are sorted.
+    """
     fields = [c for c in configs.columns if c != stem]
-    configs.select(
+    documents = configs.select(
         F.col("task_type"),
         F.concat(F.col("task_type"), F.lit("_"), F.col(stem)).alias("name"),
         F.to_json(F.struct(*fields)).alias("config"),
-    ).write.mode("errorifexists").partitionBy("task_type").json(path)
+    )
+    with setting(configs.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(WRITERS)):
+        documents.write.mode("errorifexists").partitionBy("task_type").json(path)

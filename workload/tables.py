@@ -398,7 +398,8 @@ def written_configs(spark, sf):
     """Configurations written one document each, by task type, and read back."""
     text = """to_json(named_struct('project', named_struct('name', concat('p', c_custkey), 'task_type', c_mktsegment),
         'prompt', named_struct('id', '1'), 'train_dataset', named_struct('id', '1'), 'eval_dataset', named_struct('id', '1')))"""
-    requests = table(spark, sf, "customer").selectExpr("CAST(c_custkey AS STRING) AS stem", f"parse_json({text}) AS request")
+    customers = spread(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
+    requests = customers.selectExpr("CAST(c_custkey AS STRING) AS stem", f"parse_json({text}) AS request")
     root = shared_dir(spark, "configs")
     write_configs(derive_config(validate_requests(requests)[0], ["stem"]), "stem", root)
     written = spark.read.schema("name string, config string, task_type string").json(root)
