@@ -12,15 +12,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runledger.functions.names import file_path
+from runledger.session import setting, stored
+
+#: Bytes that opening a document counts for when files are dealt to tasks: Spark's own 4 MB would make a task of 32 of them.
+OPEN_COST = 64 << 10
 
 
 def read_layers(spark: SparkSession, path: str) -> DataFrame:
     """``layer, name, setting, value`` of the documents ``<path>/<layer>/<name>.json``.
 
     Values are texts, those that are no string as JSON; a setting given as null has a null value, but is there. A file
-    that is no JSON object has no settings, of a name given twice the last value counts.
+    that is no JSON object has no settings, of a name given twice the last value counts. Each layer's folder is listed
+    once, not file by file; many small files are read by one task, and what they say is stored.
     """
-    files = spark.read.option("wholetext", True).text(f"{path}/*/*.json").select(
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    deep = system.makeQualified(folder).depth() + 2
+    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(f"{path}/*")
+    # Only files in the layers' own folders are documents.
+    steps = F.size(F.split(F.regexp_replace(file_path(), "^[^:/]+:(//[^/]*)?", ""), "/")) - 1
+    files = found.where(steps == deep).select(
         F.regexp_extract(file_path(), "([^/]+)/[^/]+$", 1).alias("layer"),
         F.regexp_extract(file_path(), "([^/]+)[.]json$", 1).alias("name"), F.try_parse_json("value").alias("document"),
     )
@@ -32,7 +43,8 @@ def read_layers(spark: SparkSession, path: str) -> DataFrame:
         entries = spark.sql("SELECT layer, name, key, value FROM layer_documents, LATERAL variant_explode(document)")
     finally:
         spark.catalog.dropTempView("layer_documents")
-    return entries.select("layer", "name", F.col("key").alias("setting"), value.alias("value"))
+    with setting(spark, "spark.sql.files.openCostInBytes", str(OPEN_COST)):
+        return stored(entries.select("layer", "name", F.col("key").alias("setting"), value.alias("value")), "settings")
 
 
 def folded_settings(targets: DataFrame, key: str, layers: Mapping[str, Column], documents: DataFrame) -> DataFrame:

@@ -451,7 +451,7 @@ def _write_documents(documents: DataFrame, folder: str) -> None:
             with system.open_output_stream(f"{path}/{row.name}.json") as out:
                 out.write(row.value.encode())
 
-    documents.foreachPartition(write)
+    spread(documents).foreachPartition(write)
 
 
 @query("""
