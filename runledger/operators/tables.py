@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from runledger.operators.ranking import last_wins
 from runledger.session import unused
 
+#: Rows of a large join that a task is to hold at most, unless one key has more.
+TASK_ROWS = 500_000
+
 
 def where_eq(df: DataFrame, **equal: object) -> DataFrame:
     """Rows equal in all given columns; None means the column is null."""
@@ -34,11 +38,14 @@ def semi(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys.select(*on), list(on), "left_semi")
 
 
-def job_tree(jobs: DataFrame, iterations: DataFrame, epochs: DataFrame, evals: DataFrame) -> DataFrame:
+def job_tree(
+    jobs: DataFrame, iterations: DataFrame, epochs: DataFrame, evals: DataFrame, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """Jobs with their steps, and each step with its epochs and evaluation results, a row for each of either.
 
     A step without any is one row. Epochs and results are rows of one table, so a step that has both has
-    as many rows as it has of them.
+    as many rows as it has of them. Many rows are dealt to more tasks than the session's number of shuffle partitions, so
+    that none holds and sorts much more than ``task_rows`` of them; a count of the rows is read first.
     """
     steps = iterations.select(
         F.col("uuid").alias("iteration_uuid"), F.col("training_job_uuid").alias("job_uuid"), "step_type",
@@ -47,11 +54,15 @@ def job_tree(jobs: DataFrame, iterations: DataFrame, epochs: DataFrame, evals: D
     epoch_rows = epochs.select("iteration_uuid", "epoch_number", F.col("uuid").alias("epoch_uuid"))
     eval_rows = evals.select("iteration_uuid", "model_id", "dataset", F.col("uuid").alias("eval_uuid"))
     below = epoch_rows.unionByName(eval_rows, allowMissingColumns=True)
-    return (
-        jobs.select(F.col("uuid").alias("job_uuid"), "status")
-        .join(steps, "job_uuid")
-        .join(below, "iteration_uuid", "left")
-    )
+    n = math.ceil(max(below.count(), steps.count()) / task_rows)
+    owners = jobs.select(F.col("uuid").alias("job_uuid"), "status")
+    known = _dealt(owners, n, "job_uuid").join(_dealt(steps, n, "job_uuid"), "job_uuid")
+    return _dealt(known, n, "iteration_uuid").join(_dealt(below, n, "iteration_uuid"), "iteration_uuid", "left")
+
+
+def _dealt(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to ``n`` tasks, where the session's shuffles would use fewer."""
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def entity_counts(**tables: DataFrame) -> DataFrame:
