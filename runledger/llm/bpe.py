@@ -203,7 +203,7 @@ class Encoder:
             self.ranks: Ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.pairs = Pairs(self.ranks)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | tuple[str], bytes] = {}
 
     def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, bytes]:
         out, short = {}, []
@@ -251,10 +251,10 @@ def sections_of(text: str) -> Iterator[str]:
     yield text[low:] if low else text
 
 
-def encode_texts(texts: list[str], known: dict[str, bytes], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+def encode_texts(texts: list[str], known: dict[str | tuple[str], bytes], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
     """Ids of each text, from what is ``known`` of its chunks; ``encode`` makes those of new chunks.
 
-    In ``known`` a text's first chunk stands as it is, and any other with its space as a null and the rest.
+    In ``known`` a text's first chunk stands in a tuple, and any other without the space that it begins with.
     """
     if len(known) > REMEMBERED:
         known.clear()
@@ -267,12 +267,12 @@ def encode_texts(texts: list[str], known: dict[str, bytes], encode: Callable[[li
             chunks = chunks_of(section)
             first.add(chunks[0])
             rest.update(chunks[1:])
-        heads = {c: known.get("\0" + c) for c in first}
+        heads = {c: known.get((c,)) for c in first}
         tails = [c for c in rest if c not in known]
         new = [c for c, ids in heads.items() if ids is None]
         made = encode([*new, *[" " + c for c in tails]])
         heads |= zip(new, made)
-        known.update(zip(["\0" + c for c in new], made))
+        known.update(zip(zip(new), made))
         known.update(zip(tails, made[len(new) :]))
         find = known.__getitem__
         for n, section in group:
@@ -282,7 +282,7 @@ def encode_texts(texts: list[str], known: dict[str, bytes], encode: Callable[[li
         for c in [c for c in tails if len(c) > LONG]:
             del known[c]
         for c in [c for c in new if len(c) > LONG]:
-            del known["\0" + c]
+            del known[(c,)]
 
     for n, text in enumerate(texts):
         for section in sections_of(text):

@@ -3,9 +3,11 @@
 Two contexts, the last id and the last two, each predict the id that followed last time, with a confidence.
 Confidences and whether the predictions agree choose the adaptive probabilities that mix the two predictions
 with the order-0 one: an adaptive distribution over the ids that a block's frequent ids table holds, and over
-classes of all other ids, even within a class. One step of a carry-less range coder tells which prediction
-holds, which frequent id it is or which class it is of; only for a class a second one tells the id in it. Every block starts anew, so any can be read by itself; blocks advance together, one id of
-each at a time, as columns of arrays.
+classes of all other ids, even within a class. A step of a carry-less range coder tells which prediction
+holds, which frequent id it is or which class it is of; for a class, the bits that tell the id in it stand
+beside the coded words. Every block starts anew, so any can be read by itself; blocks advance together, one id
+of each at a time, as columns of arrays. Arrays are of 32 bits where that is enough, and shares follow the
+counts only every so many ids, so that a symbol is looked up rather than searched.
 """
 
 from __future__ import annotations
@@ -15,114 +17,122 @@ import zlib
 
 import numpy as np
 
-U = np.uint64
+U, U4 = np.uint64, np.uint32
 #: Ids of a block at most, and blocks that advance together.
-BLOCK, LANES = 4096, 2560
-#: Slots of a block's tables of what followed one id and two.
-SLOTS1, SLOTS2 = 1024, 2048
+BLOCK, LANES = 4096, 4096
+#: Slots of a block's tables of what followed one id and two, as bits, and what ids are multiplied by to find them.
+BITS1, BITS2 = 10, 11
+MIX1, MIX2 = 2654435761, 2246822519
 #: The coder's total, the bits that it emits at once, and the least range that it keeps.
-TOTAL_BITS, EMIT = 16, 16
+TOTAL_BITS, EMIT = 20, U(32)
 LEAST = U(1 << 32)
-#: Probabilities move by 1 / 2 ** RATE towards a bound.
-RATE, LOW, HIGH = 5, 1024, 62000
-#: Classes of ids: those under 16, and each doubling from there. Their shares follow their counts, every so many ids.
-CLASSES, CLASS_BITS, REFRESH = 13, 15, 32
+#: Contexts of what holds, and bounds of the chances in them.
+CONTEXTS, LOW, HIGH = 32, 1 / 64, 0.946
+#: Classes of ids: those under 16, and each doubling from there.
+CLASSES = 13
 #: Places of a block's table of frequent ids, each a symbol of order 0 beside the classes; an id has one place.
-FREQUENT = 51
+FREQUENT = 115
 SYMBOLS = CLASSES + FREQUENT
-MAGIC = b"TOK2"
+#: Shares of symbols are whole numbers of this many bits, one at least, and follow the counts every so many ids.
+SHARE_BITS, REFRESH = 10, 128
+MAGIC = b"TOK3"
 HEADER = struct.Struct("<4sIIII")
+#: The number of coded words, before these and the bits of classes.
+SPLIT = struct.Struct("<I")
 
 
 class Damaged(ValueError):
     """A block that is not what was written."""
 
 
-CLASS = np.array([(n >> 4).bit_length() for n in range(1 << 16)], np.int64)
-FIRST = np.array([0, *[1 << (n + 3) for n in range(1, CLASSES)]], np.int64)
-WIDTH = np.array([4, *range(4, CLASSES + 3)], np.int64)
-PLACE = (np.arange(1 << 16, dtype=np.int64) * 40503 >> 5) % FREQUENT
+CLASS = np.array([(n >> 4).bit_length() for n in range(1 << 16)], np.uint8)
+FIRST = np.array([0, *[1 << (n + 3) for n in range(1, CLASSES)]], U4)
+WIDTH = np.array([4, *range(4, CLASSES + 3)], U4)
+BEGIN, BITS = FIRST.astype(np.int64), WIDTH.astype(np.int64)
+PLACE = ((np.arange(1 << 16, dtype=np.int64) * 40503 >> 5) % FREQUENT).astype(np.uint8)
 
 
 class Model:
     """Tables of some blocks, flat, each block with its own part.
 
-    A slot holds the id that followed, and above 16 bits the confidence in it. The slots of one id and of
-    two, and the two probabilities of a context, stand in one table each, so that one step serves both.
+    A slot holds the id that followed, and above 16 bits the confidence in it. Slots change with every id;
+    shares of what holds, frequent ids and shares of symbols are told by counts and change by :meth:`refresh`.
     """
 
     def __init__(self, lanes: int) -> None:
-        self.lanes = lanes
-        self.base1, self.base2 = np.arange(lanes) * SLOTS1, lanes * SLOTS1 + np.arange(lanes) * SLOTS2
-        self.slots = np.zeros(lanes * (SLOTS1 + SLOTS2), np.int32)
-        self.base = np.arange(lanes) * 32
-        self.hits = np.concatenate((np.full(lanes * 32, 1 << 13, np.int32), np.full(lanes * 32, 1 << 14, np.int32)))
+        lane = np.arange(lanes)
+        self.slots = np.zeros(lanes * ((1 << BITS1) + (1 << BITS2)), U4)
+        self.base = np.stack((lane << BITS1, (lanes << BITS1) + (lane << BITS2)))
+        # Of each context: how often neither held, the prediction of one id and that of two.
+        self.held = np.tile(np.array([5.25, 0.75, 2.0]), (lanes * CONTEXTS, 1))
         self.counts = np.full((lanes, SYMBOLS), 8, np.int32)
-        self.frequent, self.base0 = np.zeros(lanes * FREQUENT, np.int32), np.arange(lanes) * FREQUENT
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.row = np.arange(lanes) * (SYMBOLS + 1)
-        self.bounds = np.zeros((lanes, SYMBOLS + 1), np.int32)
+        self.frequent, self.sure = np.zeros(lanes * FREQUENT, U4), np.zeros(lanes * FREQUENT, np.int32)
+        self.row, self.context_row = lane * SYMBOLS, lane * CONTEXTS
 
     def refresh(self, n: int) -> None:
-        """Bounds of the symbols by their counts so far; early counts weigh less."""
+        """Shares by the counts so far, of the first n blocks."""
+        self.n = n
+        rest, held1, held2 = self.held[: n * CONTEXTS].T
+        chance2 = np.clip(held2 / (rest + held1 + held2), LOW, HIGH)
+        chance1 = np.clip(held1 / (rest + held1), LOW, HIGH) * (1 - chance2)
+        chance1[1::2] = 0  # where the predictions agree
+        total = 1 << TOTAL_BITS
+        self.share2s = (chance2 * total).astype(U4)
+        self.others_of = self.share2s + (chance1 * total).astype(U4)
+        sums = np.cumsum(self.counts[:n], axis=1)
+        ends = (sums * (((1 << SHARE_BITS) - SYMBOLS) / sums[:, -1:])).astype(U4)
+        ends += np.arange(1, SYMBOLS + 1, dtype=U4)
+        ends[:, -1] = 1 << SHARE_BITS
+        self.widths = np.diff(ends, axis=1, prepend=U4(0))
+        self.begins, self.ends = (ends - self.widths).reshape(-1), ends.reshape(-1)
+
+    def count(self, ids: np.ndarray, contexts: np.ndarray, is1: np.ndarray, is2: np.ndarray, symbols: np.ndarray) -> None:
+        """Count what held, symbols and frequent ids of some steps, each an array's row; early counts weigh less.
+
+        ``symbols`` are SYMBOLS where a prediction held.
+        """
+        n = ids.shape[1]
+        lane = np.arange(n)
+        kinds = np.bincount(((contexts << 2) + (is1 + (is2 << np.uint8(1)))).reshape(-1), minlength=n * CONTEXTS * 4)
+        held = self.held[: n * CONTEXTS]
+        held *= 0.75
+        held += kinds.reshape(-1, 4)[:, :3]
+        found = np.bincount((symbols + lane * (SYMBOLS + 1)).reshape(-1), minlength=n * (SYMBOLS + 1)).reshape(n, -1)
         counts = self.counts[:n]
-        total = np.cumsum(counts, axis=1)
-        self.bounds[:n, 1:] = (total << CLASS_BITS) // total[:, -1:]
-        counts -= counts >> 4
-
-    def predict(self, n: int) -> None:
-        """Predictions of the first n blocks and their shares of the total."""
-        mixed = self.last1[:n] * 40503
-        at1 = self.base1[:n] + ((mixed >> 3) & (SLOTS1 - 1))
-        at2 = self.base2[:n] + (((mixed + self.last2[:n] * 60493) >> 3) & (SLOTS2 - 1))
-        self.at = np.concatenate((at1, at2))
-        self.held = self.slots[self.at]
-        self.guess, self.sure = self.held & 0xFFFF, self.held >> 16
-        self.guess1, self.guess2 = self.guess[:n], self.guess[n:]
-        self.agree = self.guess1 == self.guess2
-        context = self.base[:n] + (self.sure[n:] * 8 + self.sure[:n] * 2 + self.agree)
-        self.context = np.concatenate((context, context + self.lanes * 32))
-        self.chance = self.hits[self.context]
-        self.p1, self.p2 = self.chance[:n], self.chance[n:]
-        self.share1 = ((1 << TOTAL_BITS) - self.p2) * self.p1.astype(np.int64) >> TOTAL_BITS
-        self.share1 *= ~self.agree
-        self.others = self.p2 + self.share1
-
-    def symbols(self, rest: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The symbol of each id in its block: its place among the frequent ones if it holds it, else its class."""
-        place = PLACE[ids]
-        return np.where((self.frequent[self.base0[rest] + place] & 0xFFFF) == ids, CLASSES + place, CLASS[ids])
-
-    def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray, rest: np.ndarray, symbols: np.ndarray) -> None:
-        """``rest`` are the blocks whose id neither prediction was, ``symbols`` those ids' symbols."""
-        aim = np.where(np.concatenate((is1, is2)), HIGH, LOW)
-        aim[:n] = np.where(is2 | self.agree, self.p1, aim[:n])  # one that was not asked stays
-        self.hits[self.context] = self.chance + ((aim - self.chance) >> RATE)
-        both = np.concatenate((ids, ids))
-        hit = self.guess == both
-        kept = np.where(self.sure > 0, self.guess | (self.sure >> 1) << 16, both)
-        self.slots[self.at] = np.where(hit, self.guess | np.minimum(self.sure + 1, 3) << 16, kept)
-        if len(rest):
-            self.counts[rest, symbols] += 24
-            own = ids[rest]
-            at = self.base0[rest] + PLACE[own]
-            held = self.frequent[at]
-            sure = held >> 16
-            # An id that comes again gets surer of its place; another one takes the place when that is used up.
-            kept = np.where(sure > 0, held - (1 << 16), own)
-            self.frequent[at] = np.where(symbols >= CLASSES, (held & 0xFFFF) | np.minimum(sure + 2, 15) << 16, kept)
-        self.last2[:n] = self.last1[:n]
-        self.last1[:n] = ids
-
-    def starts(self, rest: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Where symbols begin in the total; each has one at least."""
-        others = self.others[rest]
-        bound = self.bounds.reshape(-1)[self.row[rest] + symbols]
-        return others + (((1 << TOTAL_BITS) - others - SYMBOLS) * bound >> CLASS_BITS) + symbols
-
-    def all_starts(self, rest: np.ndarray) -> np.ndarray:
-        others = self.others[rest][:, None]
-        return others + (((1 << TOTAL_BITS) - others - SYMBOLS) * self.bounds[rest] >> CLASS_BITS) + np.arange(SYMBOLS + 1)
+        counts -= counts >> 3
+        counts += 24 * found[:, :SYMBOLS].astype(np.int32)
+        # An id that comes again gets surer of its place; the last other one takes the place when that is used up.
+        rare = np.flatnonzero(symbols < CLASSES)
+        own = ids.reshape(-1)[rare]
+        place = rare % n * FREQUENT + PLACE[own]
+        last = np.zeros(n * FREQUENT, U4)
+        last[place] = own
+        sure = np.minimum(self.sure[: n * FREQUENT] + 2 * found[:, CLASSES:SYMBOLS].reshape(-1), 15) - np.bincount(place, minlength=n * FREQUENT)
+        self.frequent[: n * FREQUENT] = np.where(sure < 0, last, self.frequent[: n * FREQUENT])
+        self.sure[: n * FREQUENT] = np.maximum(sure, 0)
+
+    def predict(self, at: np.ndarray, contexts: np.ndarray) -> None:
+        """Predictions of the blocks from the slots ``at``, and their shares of the total."""
+        self.at, self.slot = at, self.slots[at]
+        self.guess = self.slot & 0xFFFF
+        sure = self.slot >> 16
+        agree = self.guess[0] == self.guess[1]
+        np.add(sure[1] << 3 | sure[0] << 1 | agree, self.context_row[: self.n], out=contexts)
+        self.share2, self.others = self.share2s[contexts], self.others_of[contexts]
+        self.rest = (1 << TOTAL_BITS) - self.others
+
+    def shares(self, begins: np.ndarray, ends: np.ndarray, is1: np.ndarray, is2: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where what holds begins in the total, and its share of that; the symbol's place in order 0 is given."""
+        begin = self.rest * begins >> SHARE_BITS
+        share = (self.rest * ends >> SHARE_BITS) - begin
+        start = (self.others + begin) * rest + self.share2 * is1
+        return start, share * rest + (self.others - self.share2) * is1 + self.share2 * is2
+
+    def learn(self, ids: np.ndarray) -> None:
+        slot, guess = self.slot, self.guess
+        surer = np.minimum(slot + 0x10000, guess | 0x30000)
+        less = np.where(slot >= 0x10000, slot >> 17 << 16 | guess, ids)
+        self.slots[self.at] = np.where(guess == ids, surer, less)
 
 
 class Range:
@@ -131,129 +141,176 @@ class Range:
     def __init__(self, lanes: int) -> None:
         self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
 
-    def narrow(self, at: slice | np.ndarray, start: np.ndarray, share: np.ndarray, part: np.ndarray) -> None:
-        self.low[at] += start.astype(U) * part
-        self.range[at] = share.astype(U) * part
-
-    def settle(self, at: slice | np.ndarray, shift) -> None:
-        """Move settled bits out; ``shift`` is told whose, and their low ends."""
-        low, width = self.low[at], self.range[at]
-        need = (((low ^ (low + width)) >> U(48)) == 0) | (width < LEAST)
-        if not need.any():
-            return
-        where = np.flatnonzero(need) if isinstance(at, slice) else at[need]
-        low, width = low[need], width[need]
-        while True:
-            equal = ((low ^ (low + width)) >> U(48)) == 0
+    def settle(self, n: int, shift) -> None:
+        """Move settled bits of the first n blocks out; ``shift`` is told whose, and their low ends."""
+        where = np.flatnonzero(self.range[:n] < LEAST)
+        if len(where):
+            low = self.low[where]
             # A range that straddles a bound is cut short of it.
-            width = np.where(equal, width, (U(0) - low) & (LEAST - U(1)))
+            self.range[where] = np.minimum(self.range[where], LEAST - (low & (LEAST - U(1)))) << EMIT
             shift(where, low)
-            low, width = low << U(EMIT), width << U(EMIT)
-            self.low[where], self.range[where] = low, width
-            need = (((low ^ (low + width)) >> U(48)) == 0) | (width < LEAST)
-            if not need.any():
-                return
-            where, low, width = where[need], low[need], width[need]
+            self.low[where] = low << EMIT
+
+
+def segments(sizes: list[int]) -> list[tuple[int, int, int]]:
+    """Steps from and to between changes of shares, and how many blocks advance, the sizes descending; a block goes on to their end."""
+    out, begin = [], 0
+    while begin < sizes[0]:
+        end = begin + min(REFRESH, max(32, begin))
+        out.append((begin, end, int(np.searchsorted(-np.array(sizes), -begin, "left"))))
+        begin = end
+    return out
+
+
+def class_bits(ids: np.ndarray, symbols: np.ndarray) -> list[bytes]:
+    """Of each block, a column, the bits that tell ids in their classes, in whole 16-bit words."""
+    out = []
+    for low in range(0, ids.shape[1], 64):
+        own, kinds = np.ascontiguousarray(ids[:, low : low + 64].T), np.ascontiguousarray(symbols[:, low : low + 64].T)
+        rare = kinds < CLASSES
+        each = np.count_nonzero(rare, axis=1)
+        classes = kinds[rare]
+        width = BITS[classes]
+        ends = np.cumsum(width)
+        after = np.append(0, ends)[np.append(0, np.cumsum(each))]
+        words = (np.diff(after) + 15 >> 4) + 1
+        first = np.append(0, np.cumsum(words))
+        begin = ends - width + np.repeat(first[:-1] * 16 - after[:-1], each)
+        value = (own[rare] - BEGIN[classes]) << (32 - (begin & 15) - width)
+        word = begin >> 4
+        flat = np.bincount(word, value >> 16, first[-1]) + np.bincount(word + 1, value & 0xFFFF, first[-1])
+        flat = flat.astype("<u2").tobytes()
+        out += [flat[2 * a : 2 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+    return out
 
 
 def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
-    """Coded words of each block; blocks come by descending length."""
-    lanes, sizes = len(blocks), np.array(list(map(len, blocks)))
-    ids = np.zeros((int(sizes[0]), lanes), np.uint16)
+    """Coded words and bits of classes of each block; blocks come by descending length."""
+    lanes, parts = len(blocks), segments(list(map(len, blocks)))
+    ids = np.zeros((parts[-1][1], lanes), np.uint16)
     for lane, block in enumerate(blocks):
         ids[: len(block), lane] = block
     model, coder = Model(lanes), Range(lanes)
-    words, filled = np.zeros((lanes, int(sizes[0]) + 64), "<u2"), np.zeros(lanes, np.int64)
+    words, filled = np.zeros((lanes, len(ids) // 4 + 64), "<u4"), np.zeros(lanes, np.int64)
+    every = np.full(ids.shape, SYMBOLS, np.uint8)
 
     def shift(where: np.ndarray, low: np.ndarray) -> None:
         nonlocal words
-        if filled.max() == words.shape[1]:
+        at = filled[where]
+        if at.max() == words.shape[1]:
             words = np.concatenate((words, np.zeros_like(words)), axis=1)
-        words[where, filled[where]] = low >> U(48)
-        filled[where] += 1
-
-    active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
-    for step, n in enumerate(active.tolist()):
-        if step % REFRESH == 0:
-            model.refresh(n)
-        now = ids[step, :n].astype(np.int64)
-        model.predict(n)
-        is2 = model.guess2 == now
-        is1 = (model.guess1 == now) & ~is2
-        start, share = np.where(is1, model.p2, 0), np.where(is1, model.share1, model.p2)
-        rest = np.flatnonzero(~(is1 | is2))
-        symbols = model.symbols(rest, now[rest])
-        if len(rest):
-            begin = model.starts(rest, symbols)
-            start[rest], share[rest] = begin, model.starts(rest, symbols + 1) - begin
-        every = slice(0, n)
-        coder.narrow(every, start, share, coder.range[every] >> U(TOTAL_BITS))
-        coder.settle(every, shift)
-        rare = symbols < CLASSES
-        if rare.any():
-            which, classes = rest[rare], symbols[rare]
-            part = coder.range[which] >> WIDTH[classes].astype(U)
-            coder.narrow(which, now[which] - FIRST[classes], np.ones(len(which), np.int64), part)
-            coder.settle(which, shift)
-        model.learn(n, now, is2, is1, rest, symbols)
-    for _ in range(4):
+        words[where, at] = low >> EMIT
+        filled[where] = at + 1
+
+    key2 = np.zeros((1, lanes), U4)
+    for begin, end, n in parts:
+        model.refresh(n)
+        part = ids[begin:end, :n].astype(U4)
+        place = PLACE[part]
+        often = model.frequent[place + np.arange(n) * FREQUENT] == part
+        symbols = np.where(often, place + np.uint8(CLASSES), CLASS[part])
+        at = symbols + model.row[:n]
+        begins, ends = model.begins[at], model.ends[at]
+        # Slots by the last id and the last two before each step.
+        ats = np.empty((end - begin, 2, n), np.int64)
+        last = np.concatenate((ids[max(0, begin - 1) : begin, :n].astype(U4) if begin else key2[:, :n], part[:-1]))
+        key1 = last * MIX1
+        ats[:, 0] = (key1 >> (32 - BITS1)) + model.base[0, :n]
+        key2 = np.concatenate((key2[:, :n], last * MIX2))
+        ats[:, 1] = (key1 + key2[:-1] >> (32 - BITS2)) + model.base[1, :n]
+        key2 = key2[-1:]
+        contexts, is1, is2 = np.empty(part.shape, np.int64), np.empty(part.shape, bool), np.empty(part.shape, bool)
+        low, width = coder.low[:n], coder.range[:n]
+        for step, now in enumerate(part):
+            model.predict(ats[step], contexts[step])
+            by2 = np.equal(model.guess[1], now, out=is2[step])
+            by1 = np.greater(model.guess[0] == now, by2, out=is1[step])
+            start, share = model.shares(begins[step], ends[step], by1, by2, ~(by1 | by2))
+            unit = width >> U(TOTAL_BITS)
+            low += start * unit
+            np.multiply(share, unit, out=width)
+            coder.settle(n, shift)
+            model.learn(now)
+        symbols[is1 | is2] = SYMBOLS
+        model.count(part, contexts, is1, is2, symbols)
+        every[begin:end, :n] = symbols
+    for _ in range(2):
         shift(np.arange(lanes), coder.low)
-        coder.low = coder.low << U(EMIT)
-    return [words[lane, : filled[lane]].tobytes() for lane in range(lanes)]
+        coder.low = coder.low << EMIT
+    bits = class_bits(ids, every)
+    return [SPLIT.pack(filled[lane]) + words[lane, : filled[lane]].tobytes() + bits[lane] for lane in range(lanes)]
 
 
 def decode_lanes(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """Ids of each block; blocks come by descending length."""
-    lanes, most = len(coded), max(map(len, coded)) // 2
-    words, read = np.zeros((lanes, most + 8), "<u2"), np.zeros(lanes, np.int64)
-    for lane, block in enumerate(coded):
-        words[lane, : len(block) // 2] = np.frombuffer(block, "<u2")
-    model, coder, code = Model(lanes), Range(lanes), np.zeros(lanes, U)
+    lanes, parts = len(coded), segments(sizes)
+    cuts = [SPLIT.size + 4 * SPLIT.unpack_from(block)[0] for block in coded]
+    most = max(cuts) // 4 + 2
+    # Bits of classes, as 32 from each 16th on.
+    bits_most = max(len(block) - cut for block, cut in zip(coded, cuts)) // 2 + 2
+    words, bits = np.zeros((lanes, most), "<u4"), np.zeros((lanes, bits_most), U4)
+    for lane, (block, cut) in enumerate(zip(coded, cuts)):
+        words[lane, : cut // 4 - 1] = np.frombuffer(block, "<u4", cut // 4 - 1, SPLIT.size)
+        bits[lane, : (len(block) - cut) // 2] = np.frombuffer(block, "<u2", -1, cut)
+    bits <<= U4(16)
+    bits[:, :-1] |= bits[:, 1:] >> U4(16)
+    words, read, bits, bit = words.reshape(-1), np.arange(lanes) * most + 2, bits.reshape(-1), np.arange(lanes) * (bits_most * 16)
+    model, coder = Model(lanes), Range(lanes)
+    # Of the code what lies above the low end.
+    code = words[read - 2].astype(U) << EMIT | words[read - 1]
 
     def shift(where: np.ndarray, _: np.ndarray) -> None:
-        # What lies beyond a damaged block's end reads as its last word.
-        code[where] = code[where] << U(EMIT) | words[where, np.minimum(read[where], most + 7)]
-        read[where] += 1
-
-    for _ in range(4):
-        shift(np.arange(lanes), coder.low)
-    size = np.array(sizes)
-    ids = np.zeros((int(size[0]), lanes), np.uint16)
-    active = np.searchsorted(-size, -np.arange(int(size[0])), "left")
-    for step, n in enumerate(active.tolist()):
-        if step % REFRESH == 0:
-            model.refresh(n)
-        model.predict(n)
-        every = slice(0, n)
-        part = coder.range[every] >> U(TOTAL_BITS)
-        value = np.minimum((code[every] - coder.low[every]) // part, U((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        is2 = value < model.p2
-        is1 = ~is2 & (value < model.others)
-        now = np.where(is2, model.guess2, model.guess1).astype(np.int64)
-        start, share = np.where(is1, model.p2, 0), np.where(is1, model.share1, model.p2)
-        rest = np.flatnonzero(~(is1 | is2))
-        symbols = np.zeros(0, np.int64)
-        if len(rest):
-            starts = model.all_starts(rest)
-            row = np.arange(len(rest))
-            symbols = (starts[:, 1:-1] <= value[rest][:, None]).sum(axis=1)
-            start[rest] = starts[row, symbols]
-            share[rest] = starts[row, symbols + 1] - starts[row, symbols]
-        coder.narrow(every, start, share, part)
-        coder.settle(every, shift)
-        often = rest[symbols >= CLASSES]
-        now[often] = model.frequent[model.base0[often] + symbols[symbols >= CLASSES] - CLASSES] & 0xFFFF
-        rare = symbols < CLASSES
-        if rare.any():
-            which, classes = rest[rare], symbols[rare]
-            width = WIDTH[classes]
-            part = coder.range[which] >> width.astype(U)
-            off = np.minimum(((code[which] - coder.low[which]) // part).astype(np.int64), (1 << width) - 1)
-            now[which] = FIRST[classes] + off
-            coder.narrow(which, off, np.ones(len(which), np.int64), part)
-            coder.settle(which, shift)
-        ids[step, :n] = now
-        model.learn(n, now, is2, is1, rest, symbols)
+        at = read[where]
+        code[where] = code[where] << EMIT | words[at]
+        read[where] = at + 1
+
+    ids = np.zeros((parts[-1][1], lanes), np.uint16)
+    now, key2 = np.zeros(lanes, U4), np.zeros(lanes, U4)
+    id_of = np.empty((lanes, SYMBOLS), U4)
+    id_of[:, :CLASSES] = FIRST
+    for begin, end, n in parts:
+        model.refresh(n)
+        id_of[:n, CLASSES:] = model.frequent[: n * FREQUENT].reshape(n, -1)
+        own = id_of[:n].reshape(-1)
+        symbol_at = np.repeat(np.tile(np.arange(SYMBOLS, dtype=np.uint8), n), model.widths.reshape(-1).astype(np.int64))
+        table_row = np.arange(n) << SHARE_BITS
+        shape = (end - begin, n)
+        contexts, is1, is2, symbols = np.empty(shape, np.int64), np.empty(shape, bool), np.empty(shape, bool), np.empty(shape, np.uint8)
+        low, width, row, off, base, at = coder.low[:n], coder.range[:n], model.row[:n], code[:n], model.base[:, :n], np.empty((2, n), np.int64)
+        now, key2 = now[:n], key2[:n]
+        for step in range(end - begin):
+            key1 = now * MIX1
+            np.add(key1 >> (32 - BITS1), base[0], out=at[0])
+            np.add(key1 + key2 >> (32 - BITS2), base[1], out=at[1])
+            key2 = now * MIX2
+            model.predict(at, contexts[step])
+            unit = width >> U(TOTAL_BITS)
+            value = (off // unit).astype(U4)
+            by2 = np.less(value, model.share2, out=is2[step])
+            rest = value >= model.others
+            by1 = np.equal(by2, rest, out=is1[step])
+            # The last symbol that begins at or before the value.
+            wanted = (((value - model.others) * rest << SHARE_BITS) + ((1 << SHARE_BITS) - 1)) / model.rest
+            symbol = symbols[step]
+            symbol[:] = symbol_at[wanted.astype(np.int64) + table_row]
+            place = symbol + row
+            start, share = model.shares(model.begins[place], model.ends[place], by1, by2, rest)
+            begins = start * unit
+            low += begins
+            off -= begins
+            np.multiply(share, unit, out=width)
+            coder.settle(n, shift)
+            now = own[place]
+            rare = np.flatnonzero((symbol < CLASSES) & rest)
+            if len(rare):
+                wide, from_ = WIDTH[symbol[rare]], bit[rare]
+                now[rare] += bits[from_ >> 4] << (from_ & 15).astype(U4) >> (32 - wide)
+                bit[rare] = from_ + wide
+            now = now * rest + model.guess[0] * by1 + model.guess[1] * by2
+            ids[begin + step, :n] = now
+            model.learn(now)
+        symbols[is1 | is2] = SYMBOLS
+        model.count(ids[begin:end, :n], contexts, is1, is2, symbols)
     return [ids[: sizes[lane], lane].astype(np.int64) for lane in range(lanes)]
 
 
@@ -270,7 +327,7 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
         for place, words in zip(group, encode_lanes([blocks[n] for n in group])):
             coded[place] = words
     return [
-        HEADER.pack(MAGIC, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(words), len(words)) + words
+        HEADER.pack(MAGIC, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(words, len(ids)), len(words)) + words
         for ids, words in zip(blocks, coded)
     ]
 
@@ -282,7 +339,7 @@ def unpack(packed: list[bytes]) -> list[np.ndarray]:
         if len(data) < HEADER.size:
             raise Damaged("a block shorter than its header")
         magic, size, check, coded_check, length = HEADER.unpack_from(data)
-        if magic != MAGIC or len(data) != HEADER.size + length or zlib.crc32(data[HEADER.size :]) != coded_check:
+        if magic != MAGIC or len(data) != HEADER.size + length or zlib.crc32(data[HEADER.size :], size) != coded_check:
             raise Damaged("a block that was changed")
         heads.append((size, check))
     out = [np.zeros(0, np.int64)] * len(packed)

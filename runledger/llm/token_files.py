@@ -15,13 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runledger.llm import token_coder
-from runledger.llm.bpe import encode_texts, slices
+from runledger.llm.bpe import LONG, REMEMBERED, SECTION, encode_texts, slices
 from runledger.llm.common import kept, shuffle_partitions, text_or_empty
 from runledger.session import shared_dir, stored
 
@@ -30,23 +31,96 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 
 
+#: What a token stands for a space by, and how many chunks the library is given as one text.
+SPACE, TOGETHER = "\u0120", 256
+#: A space after white space of any kind, in Arrow's spelling.
+ODD_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+#: Bytes of the texts whose chunks are looked up together, about.
+GROUP = 1 << 23
+
+
 class Encoder:
-    """The tokenizers library on texts, chunk by chunk: a chunk always begins a match of its own."""
+    """The tokenizers library on texts, chunk by chunk: a chunk always begins a match of its own.
+
+    Texts are cut by Arrow, and each chunk of a group is looked up once; those with a space after other white space,
+    and very long ones, go by :func:`encode_texts`. The library is given new chunks end to end, as their ids are
+    told apart by the tokens that begin with a space.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        #: By chunk without the space that it begins with, or a text's first in a tuple; those of odd texts.
+        self.known: dict[str | tuple[str], bytes] = {}
+        self.odd: dict[str | tuple[str], bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[n for token, n in vocabulary.items() if token.startswith(SPACE)]] = True
+
+    def encode_each(self, texts: list[str]) -> list[bytes]:
         out = []
-        for low in range(0, len(chunks), 20_000):
-            found = self.tokenizer.encode_batch_fast(chunks[low : low + 20_000], add_special_tokens=False)
+        for low in range(0, len(texts), 20_000):
+            found = self.tokenizer.encode_batch_fast(texts[low : low + 20_000], add_special_tokens=False)
             out += [np.array(x.ids, "<u4").tobytes() for x in found]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return encode_texts(texts, self.known, self.encode_chunks)
+    def encode_new(self, chunks: list[str | tuple[str]]) -> list[bytes]:
+        # White space at a chunk's end would go on in the space of the next.
+        plain = [n for n, c in enumerate(chunks) if isinstance(c, str) and c and not c[-1].isspace()]
+        made: list[bytes | None] = [None] * len(chunks)
+        groups = [plain[low : low + TOGETHER] for low in range(0, len(plain), TOGETHER)]
+        for group, ids in zip(groups, self.encode_each([" " + " ".join([chunks[n] for n in group]) for group in groups])):
+            starts = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]) * 4
+            if len(starts) == len(group) and starts[0] == 0:
+                cuts = [*starts.tolist(), len(ids)]
+                for n, a, b in zip(group, cuts, cuts[1:]):
+                    made[n] = ids[a:b]
+        other = [n for n, x in enumerate(made) if x is None]
+        texts = [c[0] if isinstance(c, tuple) else " " + c for c in [chunks[n] for n in other]]
+        for n, ids in zip(other, self.encode_each(texts)):
+            made[n] = ids
+        return made
+
+    def encode_group(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts without a space after other white space."""
+        cut = pc.split_pattern(texts, " ")
+        first, chunks = cut.offsets.to_numpy(), cut.flatten()
+        coded = chunks.dictionary_encode()
+        heads = list(zip(chunks.take(pa.array(first[:-1])).to_pylist()))
+        keys = [*coded.dictionary.to_numpy(zero_copy_only=False).tolist(), *dict.fromkeys(heads)]
+        number = dict(zip(keys[len(coded.dictionary) :], range(len(coded.dictionary), len(keys))))
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[first[:-1]] = [number[head] for head in heads]
+        ids = list(map(self.known.get, keys))
+        used = np.bincount(at, minlength=len(keys)) > 0
+        new = [n for n in np.flatnonzero(used).tolist() if ids[n] is None]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for n, made in zip(new, self.encode_new([keys[n] for n in new])):
+            ids[n] = made
+            if len(made) <= LONG:
+                self.known[keys[n]] = made
+        ids = [x or b"" for x in ids]
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begins, each = np.cumsum(sizes) - sizes, sizes[at]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(begins[at] - (ends - each), each) + np.arange(ends[-1])]
+        return np.split(out, ends[first[1:-1] - 1])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) | (sizes > SECTION)
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        which = np.flatnonzero(odd)
+        for n, ids in zip(which.tolist(), encode_texts(texts.take(pa.array(which)).to_pylist(), self.odd, self.encode_each)):
+            out[n] = np.frombuffer(ids, "<u4")
+        which = np.flatnonzero(~odd)
+        group = np.cumsum(sizes[which]) // GROUP
+        for places in np.split(which, np.flatnonzero(np.diff(group)) + 1):
+            if len(places):
+                for n, ids in zip(places.tolist(), self.encode_group(texts.take(pa.array(places)))):
+                    out[n] = ids
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -87,8 +161,8 @@ def write(docs: DataFrame, folder: str, path: str = VOCABULARY) -> None:
 
         for batch in slices(batches, 2000):
             types = pa.struct([("nth", pa.int64()), ("doc_id", batch.schema.field(0).type), ("n", pa.int64()), ("before", pa.int64()), ("ends", pa.bool_())])
-            for doc_id, found in zip(batch.column(0).to_pylist(), encoder(path)(batch.column(1).to_pylist())):
-                own = np.append(np.frombuffer(found, "<u4"), np.uint32(END)).astype(np.int64)
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder(path)(batch.column(1))):
+                own = np.append(found, np.uint32(END)).astype(np.int64)
                 if size and size + len(own) > token_coder.BLOCK:
                     parts.append([]), ids.append([])
                     size = 0

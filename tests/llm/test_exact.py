@@ -219,6 +219,54 @@ def test_order_0_predicts_ids():
     assert sum(map(len, packed)) * 8 / 80_000 < 0.9 * 3 + 0.1 * 17 + 0.5 + 1.2
 
 
+def test_blocks_of_any_length_come_back():
+    rng = np.random.default_rng(7)
+    lengths = [1, 31, 32, 33, 63, 64, 65, 127, 128, 129, 255, 256, 257, 1023, 4095, 4096]
+    blocks = [rng.zipf(1.3, n) % 65536 for n in lengths] + [np.tile(rng.integers(0, 65536, 40), 100)[:n] for n in lengths]
+    packed = token_coder.pack(blocks)
+    assert all(a.tolist() == b.tolist() for a, b in zip(token_coder.unpack(packed), blocks))
+    assert [token_coder.pack([b])[0] for b in blocks] == packed
+    # What follows an id, and what follows two, is predicted once it was seen.
+    assert len(packed[-1]) * 8 / 4096 < 1.5
+
+
+def test_new_chunks_reach_the_library_together():
+    import pyarrow as pa
+
+    random.seed(3)
+    texts = [" ".join("".join(random.choices("aeiou bcd,é", k=300)).split()) for _ in range(100)]
+    encoder = token_files.Encoder(token_files.VOCABULARY)
+    library, given = encoder.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **options):
+            given.extend(batch)
+            return library.encode_batch_fast(batch, **options)
+
+    encoder.tokenizer = Counting()
+    try:
+        got = encoder(pa.array(texts))
+    except TypeError:
+        got = encoder(texts)
+    want = [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    # A text's first chunk by itself, all others end to end.
+    assert len({chunk for text in texts for chunk in text.split(" ")}) > 2000 and len(given) < 120
+
+
+def test_texts_of_odd_spaces_have_the_ids_of_the_library():
+    import pyarrow as pa
+
+    random.seed(1)
+    parts = ["a", " ", "  ", "\n", " \n", "\u3000", "\xa0", "\x85", "\x1c", "é", "中", "<|endoftext|>", "'s", "1", "\0", "b c", "x. ", "\t", "\u200b", "\u0120"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 12))) for _ in range(3000)] + ["", " ", "  ", "a ", " a", "a\n", "w " * 200_000]
+    encoder = token_files.Encoder(token_files.VOCABULARY)
+    want = [x.ids for x in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time from what is known
+        assert [x.tolist() for x in encoder(pa.array(texts))] == want
+    assert encoder(pa.array([], pa.string())) == []
+
+
 def test_empty_tables(empty):
     assert exact_dedup.duplicate_groups(empty).count() == 0
     assert exact_dedup.drop_duplicates(empty).count() == 0
